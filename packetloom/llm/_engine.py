@@ -216,7 +216,8 @@ def pack(columns: dict[str, np.ndarray]) -> bytes:
         if name == "key":
             a = np.diff(a, prepend=a.dtype.type(0))
         kinds.append(f"{name}:{a.dtype.str}")
-        body.append(a.view(np.uint8).reshape(n, a.dtype.itemsize).T.tobytes() if n else b"")
+        # records of bytes (texts) stay as they are
+        body.append(a.tobytes() if a.dtype.kind == "V" or not n else a.view(np.uint8).reshape(n, a.dtype.itemsize).T.tobytes())
     head = ";".join(kinds).encode()
     return struct.pack("<IQ", len(head), n) + head + _zstd()[0].compress(b"".join(body))
 
@@ -227,7 +228,8 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     for kind in bytes(blob[12 : 12 + size]).decode().split(";"):
         name, dtype = kind.split(":")
         width = np.dtype(dtype).itemsize
-        a = np.ascontiguousarray(body[at : at + n * width].reshape(width, n).T).view(dtype).reshape(n)
+        a = body[at : at + n * width]
+        a = a.view(dtype) if np.dtype(dtype).kind == "V" else np.ascontiguousarray(a.reshape(width, n).T).view(dtype).reshape(n)
         out[name] = np.cumsum(a, dtype=a.dtype) if name == "key" else a
         at += n * width
     return out
@@ -295,9 +297,9 @@ def ask(chunks: DataFrame, others: DataFrame | None, emit: Callable, answer: Cal
     return sent.groupBy("bucket").applyInArrow(answered, REPLY)
 
 
-def replied(replies: pa.Table) -> dict[str, np.ndarray]:
-    """All replies to a chunk, sorted by key; empty: no columns."""
-    parts = [unpack(x) for x in replies.column("blob").to_pylist()]
+def replied(replies: pa.Table, having: str = "key") -> dict[str, np.ndarray]:
+    """All replies to a chunk that have a column, sorted by key; none: no columns."""
+    parts = [p for p in map(unpack, replies.column("blob").to_pylist()) if having in p]
     if not parts:
         return {}
     out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
@@ -305,11 +307,12 @@ def replied(replies: pa.Table) -> dict[str, np.ndarray]:
     return {k: v[order] for k, v in out.items()}
 
 
-def with_replies(chunks: DataFrame, replies: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """``finish(chunk's table, its replies)`` for every chunk, replies or none."""
+def with_replies(chunks: DataFrame, replies: DataFrame, finish: Callable, schema: str, kinds: tuple[str, ...] = ("key",)) -> DataFrame:
+    """``finish(chunk's table, its replies)`` for every chunk, replies or none; one argument of
+    replies for each of the columns that tell their kinds apart."""
 
     def both(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
-        return finish(table, replied(said))
+        return finish(table, *(replied(said, k) for k in kinds))
 
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(both, schema)
 
