@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import chat, decontaminate, fingerprints, packing, quality, simhash, substring_dedup, suffix_dedup, warc
+from packetloom.llm import chat, decontaminate, fingerprints, line_dedup, packing, quality, simhash, substring_dedup, suffix_dedup, warc
 from packetloom.llm._engine import read
 
 
@@ -12,6 +12,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,

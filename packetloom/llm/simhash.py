@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.llm import _engine as E
@@ -174,3 +174,23 @@ def near_duplicates(documents: DataFrame, size: int = 3, bits: int = 2) -> DataF
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of = member.join(named, "root").select("fp", "component_id")
     return found.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, size: int = 3, bits: int = 2) -> DataFrame:
+    """documents, all columns: of each component the row with the smallest doc_id (null last,
+    ties by a hash of the text; of equal rows any one)."""
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_d"), F.xxhash64("text").alias("_t")]
+
+    def scan(batches):
+        for batch in batches:
+            fp = fingerprints_of(*E.text_bytes(batch.column("text")), size)
+            yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_t"), pa.array(fp.view(np.int64))], ["_d", "_t", "fp"])
+
+    found = E.stored(documents.select(*key, "text").mapInArrow(scan, "_d long, _t long, fp long"), "simhash")
+    distinct = found.groupBy("fp").agg(F.min(F.struct("_d", "_t")).alias("first"))
+    roots = components(links(distinct.select("fp"), bits)).withColumnRenamed("vertex", "fp")
+    kept = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first._d", "first._t")
+    once = Window.partitionBy("_d", "_t").orderBy(F.lit(1))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), *key)
+    rows = rows.join(kept, ["_d", "_t"]).withColumn("_n", F.row_number().over(once)).filter("_n = 1")
+    return rows.select("_row.*")
