@@ -182,8 +182,10 @@ def fillings(left: int, lengths: list[int], counts: dict[int, int], most: int =
     return sorted(set(found), key=lambda x: (x[0], [-s for s, _ in x[1]]))[:most]
 
 
-def complete(counts: dict[int, int], capacity: int, branches: int = 3, budget: int = 60_000) -> list[tuple[Filling, int]]:
-    """The fewest bins found: (filling, times)."""
+def complete(counts: dict[int, int], capacity: int, branches: int = 3, budget: int | None = None) -> list[tuple[Filling, int]]:
+    """The fewest bins found: (filling, times). budget: fillings to branch on; by default it
+    follows the number of lengths, so the search takes seconds, however many pieces."""
+    budget = 1000 + 2 * len(counts) if budget is None else budget
     total = sum(k * n for k, n in counts.items())
     floor = -(-total // capacity)
     best = best_fit(counts, capacity)
