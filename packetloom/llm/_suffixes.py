@@ -26,7 +26,7 @@ def _smaller(text: np.ndarray) -> np.ndarray:
 
 class _Buckets:
     def __init__(self, text: np.ndarray, smaller: np.ndarray, letters: int):
-        self.text, self.smaller, self.letters = text, smaller, letters
+        self.text, self.smaller, self.letters = text.astype(np.uint16), smaller, letters
 
     def _deal(self, to: list[list[np.ndarray]], items: np.ndarray) -> None:
         if len(items):
@@ -40,47 +40,45 @@ class _Buckets:
     def induce(self, seeds: np.ndarray) -> np.ndarray:
         """All suffixes in order, from leftmost-smaller suffixes in order (or in any order:
         then ordered by their substrings)."""
-        text, n = self.text, len(self.text)
+        n = len(self.text)
         seed: list[list[np.ndarray]] = [[] for _ in range(self.letters)]
         self._deal(seed, seeds)
         larger: list[list[np.ndarray]] = [[] for _ in range(self.letters)]
-        larger[text[n - 1]].append(np.array([n - 1]))
+        larger[self.text[n - 1]].append(np.array([n - 1]))
         for c in range(self.letters):
-            at = 0
-            while at < len(larger[c]):  # waves: what the bucket adds to itself comes behind
-                before = larger[c][at] - 1
-                before = before[before >= 0]
-                before = before[~self.smaller[before]]
-                same = text[before] == c
-                if same.any():
-                    larger[c].append(before[same])
-                self._deal(larger, before[~same])
-                at += 1
-            for part in seed[c]:
-                before = part - 1
+            self._scan(larger, c, ~self.smaller)
+            if seed[c]:
+                before = np.concatenate(seed[c]) - 1
                 self._deal(larger, before[before >= 0])
         small: list[list[np.ndarray]] = [[] for _ in range(self.letters)]  # from right to left
         for c in range(self.letters - 1, -1, -1):
-            at = 0
-            while at < len(small[c]):
-                before = small[c][at] - 1
-                before = before[before >= 0]
-                before = before[self.smaller[before]]
-                same = text[before] == c
-                if same.any():
-                    small[c].append(before[same])
-                self._deal(small, before[~same])
-                at += 1
-            for part in larger[c][::-1]:
-                before = part[::-1] - 1
+            self._scan(small, c, self.smaller)
+            if larger[c]:
+                before = larger[c][0][::-1] - 1
                 before = before[before >= 0]
                 self._deal(small, before[self.smaller[before]])
         out = []
         for c in range(self.letters):
             out += larger[c]
-            out += [p[::-1] for p in small[c][::-1]]
+            out += [p[::-1] for p in small[c]]
         return np.concatenate(out)
 
+    def _scan(self, to: list[list[np.ndarray]], c: int, kind: np.ndarray) -> None:
+        """Deals what bucket c induces; what it induces into itself comes behind, in waves."""
+        if not to[c]:
+            return
+        wave = np.concatenate(to[c])
+        waves = [wave]
+        while len(wave):
+            before = wave - 1
+            before = before[before >= 0]
+            before = before[kind[before]]
+            same = self.text[before] == c
+            self._deal(to, before[~same])
+            wave = before[same]
+            waves.append(wave)
+        to[c] = [np.concatenate(waves)]
+
 
 def _by_doubling(names: np.ndarray) -> np.ndarray:
     """Order of the suffixes of a text over many letters."""

@@ -66,7 +66,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     at = np.flatnonzero(most[: len(g)] == g)
     own = text[at]
     lo, hi = np.maximum(at - reach, offsets[own]), np.minimum(at + length, offsets[own + 1])
-    return g[at], own, E.mixed(E.span_hash(sums, lo, hi) + (at - lo).astype(np.uint64)), lo, hi
+    # anchors' hashes are small ones; mixed again they spread over all ranges of keys
+    return E.mixed(g[at]), own, E.mixed(E.span_hash(sums, lo, hi) + (at - lo).astype(np.uint64)), lo, hi
 
 
 def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
