@@ -16,8 +16,14 @@ def word_sum(b: Column) -> Column:
 
 
 def folded(total: Column) -> Column:
+    """The sum with its carries added in, below 2**16."""
+
+    def fold(x: Column) -> Column:
+        return x.bitwiseAND(0xFFFF) + F.shiftright(x, 16)
+
+    # each fold names its argument twice: the array holds it worked out once
     for _ in range(4):
-        total = total.bitwiseAND(0xFFFF) + F.shiftright(total, 16)
+        total = F.get(F.transform(F.array(total), fold), F.lit(0))
     return total
 
 

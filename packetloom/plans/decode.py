@@ -30,6 +30,13 @@ def warning(code: str, offset: Column, ethertype: Column | None = None) -> Colum
     return F.struct(F.lit(code).alias("code"), number.alias("ethertype"), F.lit(protocol).alias("protocol"), F.lit(subcode).alias("subcode"), offset.cast("int").alias("offset"), F.lit(message).alias("message"))
 
 
+def _held(name: str) -> Column:
+    """A column as it is, by way of a lambda. A projection with a lambda is compiled by itself,
+    in methods of bounded size; without any the whole chain would be one method, too large
+    to compile, and every query would pay for the attempt."""
+    return F.get(F.transform(F.array(F.col(name)), lambda x: x), F.lit(0))
+
+
 def _ipv4_fragment(header: Column) -> Column:
     return (header["flags"].bitwiseAND(1) != 0) | (header["fragment_offset"] != 0)
 
@@ -63,6 +70,7 @@ def decode(frames: DataFrame, data: str = "data", config: ParseConfig = ParseCon
         F.when(fine & (kind == "ipv4"), network.ipv4_header(b, at)).alias("_ipv4"),
         F.when(fine & (kind == "ipv6"), network.ipv6_header(b, at)).alias("_ipv6"),
         F.when(fine & (kind == "mpls"), link.mpls_walk(b, at, config.max_mpls_labels)).alias("_mpls"),
+        _held("_e2").alias("_h2"),
     )
     v4, v6 = c("_ipv4"), c("_ipv6")
     cut = v4["total_length"] > left
@@ -83,10 +91,11 @@ def decode(frames: DataFrame, data: str = "data", config: ParseConfig = ParseCon
     # transport
     proto, l4, end = c("_proto"), c("_l4"), c("_end")
     rows = rows.select("*", transport.transport_error(b, proto, l4, end).alias("_e4"))
-    rows = rows.select("*", F.coalesce("_e1", "_e2", "_e3", walk["error"], "_e4").alias("_error"))
+    rows = rows.select("*", F.coalesce("_e1", "_h2", "_e3", walk["error"], "_e4").alias("_error"))
     good = c("_error").isNull()
     is_ = lambda number: good & (proto == number)
-    rows = rows.select("*", F.when(is_(transport.TCP), transport.tcp(b, l4)).alias("_tcp"), F.when(is_(transport.UDP), transport.udp(b, l4)).alias("_udp"))
+    rows = rows.select("*", F.when(is_(transport.TCP), transport.tcp(b, l4)).alias("_tcp"), F.when(is_(transport.UDP), transport.udp(b, l4)).alias("_udp"), _held("_error").alias("_h4"))
+    good = c("_h4").isNull()
     udp = c("_udp")
     rows = rows.select("*", F.when(udp.isNotNull(), raw(b, l4 + 8, udp["length"] - 8)).alias("_app"))
     m = c("_app")
@@ -98,7 +107,9 @@ def decode(frames: DataFrame, data: str = "data", config: ParseConfig = ParseCon
         F.when(app.port_is(udp, 4789), app.vxlan(m)).alias("_vxlan"),
         F.when(app.port_is(udp, 6081), app.geneve(m)).alias("_geneve"),
         F.when(app.port_is(udp, 51820, 51821) & app.wireguard_type(m).isNotNull(), F.struct(app.wireguard_type(m).alias("message_type"))).alias("_wireguard"),
+        _held("_h4").alias("_h5"),
     )
+    good = c("_h5").isNull()
 
     # rows
     mpls = c("_mpls")

@@ -73,7 +73,7 @@ def eth_ipv4_tcp_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         c("l_orderkey").alias("order_key"), c("l_linenumber").cast("long").alias("line"), c("ipv4.source").alias("source"), c("ipv4.destination").alias("destination"),
         t["source_port"].cast("long").alias("source_port"), t["destination_port"].cast("long").alias("destination_port"), t["sequence_number"].alias("sequence_number"), t["acknowledgment_number"].alias("acknowledgment"),
         c("ipv4.ttl").cast("long").alias("ttl"), t["window_size"].cast("long").alias("window_size"),
-        t["flags.syn"].alias("syn"), t["flags.ack"].alias("ack"), t["flags.fin"].alias("fin"), t["flags.psh"].alias("psh"),
+        t["flags"]["syn"].alias("syn"), t["flags"]["ack"].alias("ack"), t["flags"]["fin"].alias("fin"), t["flags"]["psh"].alias("psh"),
         c("ipv4.total_length").cast("long").alias("total_length"), F.size("warnings").cast("long").alias("warnings"),
     )
 
@@ -279,7 +279,7 @@ def pcapng_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT c_custkey AS key, CASE WHEN n = 9 THEN '' WHEN n = 8 THEN '' ELSE 'udp' END AS transport,
   CASE WHEN n >= 8 THEN 'ipv6-ext-depth-limit' ELSE '' END AS warnings, CAST(CASE WHEN n >= 8 THEN 14 + 40 + 64 END AS BIGINT) AS warned_at,
-  '2001:db8::' || CASE WHEN c_custkey < 65536 THEN lower(printf('%x', c_custkey)) ELSE lower(printf('%x:%x', c_custkey >> 16, c_custkey & 65535)) END AS source
+  '2001:db8::' || CASE WHEN c_custkey = 0 THEN '' WHEN c_custkey < 65536 THEN lower(printf('%x', c_custkey)) ELSE lower(printf('%x:%x', c_custkey >> 16, c_custkey & 65535)) END AS source
 FROM (SELECT c_custkey, c_custkey % 10 AS n FROM customer)""")
 def ipv6_extension_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0 to 9 destination options in a row, then UDP; eight reach the limit."""
