@@ -15,7 +15,9 @@ from packetloom.functions.checksum import checksum, folded, icmpv6_checksum, wor
 from packetloom.operators import link, network, transport
 from packetloom.operators.dns import dns_parsed
 
-_NONE = F.lit(None)
+def _none(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
 
 
 def _n(b: Column) -> Column:
@@ -109,7 +111,7 @@ def is_valid_dns(b: Column) -> Column:
 
 def _outcome(value: Column, error: Column, proto_id: Column | None = None) -> Column:
     """value and error; the error is worked out once."""
-    number = _NONE.cast("int") if proto_id is None else proto_id
+    number = _none("int") if proto_id is None else proto_id
     return F.get(F.transform(F.array(error), lambda e: F.struct(F.when(e.isNull(), value).alias("value"), F.when(e.isNotNull(), F.struct(e.alias("kind"), F.when(e == "UnsupportedProtocol", number).alias("proto_id"))).alias("error"))), F.lit(0))
 
 
@@ -146,7 +148,7 @@ def parse_udp(b: Column) -> Column:
 
 def parse_dns(b: Column) -> Column:
     out = dns_parsed(b)
-    return F.struct(out["message"].alias("value"), F.when(out["error"].isNotNull(), F.struct(out["error"].alias("kind"), _NONE.cast("int").alias("proto_id"))).alias("error"))
+    return F.struct(out["message"].alias("value"), F.when(out["error"].isNotNull(), F.struct(out["error"].alias("kind"), _none("int").alias("proto_id"))).alias("error"))
 
 
 def _addresses(b: Column, at: Column, count: Column) -> Column:
