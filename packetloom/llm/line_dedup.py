@@ -167,12 +167,15 @@ def deletions(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 def line_dedup(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """documents, all columns, with text cut (and n_chars counted anew where it is there)."""
     rows = _cut(documents, least_words)
-    kept = [F.col("_kept").alias("text") if c == "text" else F.length("_kept").cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in documents.dtypes]
+    of = lambda c: F.col("_row")[c]
+    kept = [F.col("_kept").alias("text") if c == "text" else F.when(F.col("_lines").isNull(), of(c)).otherwise(F.length("_kept").cast(t)).alias(c) if c == "n_chars" else of(c).alias(c) for c, t in documents.dtypes]
     return rows.select(kept)
 
 
 def _cut(documents: DataFrame, least_words: int) -> DataFrame:
-    rows = _identity(documents).join(deletions(documents, least_words).withColumnRenamed("lines", "_lines"), ["_d", "_t"], "left")
+    """(_row, doc_id, text, _lines, _kept): whole rows apart, so no name of theirs can clash."""
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    rows = _identity(rows).join(deletions(documents, least_words).withColumnRenamed("lines", "_lines"), ["_d", "_t"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lines", i)), "\n")
     return rows.withColumn("_kept", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept))
 
