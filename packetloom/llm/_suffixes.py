@@ -164,4 +164,4 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         out[live[~equal]] = k + (np.bitwise_count((lost & (~lost + np.uint64(1))) - np.uint64(1)) // 8)
         live, k = live[equal], k + 8
     out[live] = most
-    return np.minimum(out, np.minimum(n - np.arange(n), np.where(before >= 0, n - before, 0)))
+    return np.minimum(np.minimum(out, most), np.minimum(n - np.arange(n), np.where(before >= 0, n - before, 0)))
