@@ -7,7 +7,9 @@ its segment. Of equal segments all but the first are repeated throughout, which
 settle; only the first ones of different segments that share an anchor can still have
 windows in common. Their bytes are dealt to shards by anchor. A shard's suffix array is
 induced, permuted common prefixes tell runs of suffixes that share a whole window, and of
-each run all but the first place are repeats.
+each run all but the first place are repeats. An anchor that more than ``HOT`` different
+segments share would fill a shard by itself: the corpus is asked about each window of those
+segments instead, a hash once for each chunk, so no task holds them together.
 
 Texts are UTF-8 bytes, matches never cross documents, and strings are judged on the input.
 Rows: one for each input row. Null text: empty; texts shorter than a window stay whole.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from packetloom.llm import _engine as E
 from packetloom.llm._suffixes import common_prefixes, suffix_array
 
-GRAM, SHARD_BYTES = 32, 1 << 20
+GRAM, SHARD_BYTES, HOT = 32, 1 << 20, 4096
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _ROW = 1 << 40  # rows of one doc_id lie this far apart in positions
 
@@ -127,7 +129,24 @@ def repeats(segments: np.ndarray, size: np.ndarray, doc: np.ndarray, place: np.n
     return out
 
 
-def suffix_dedup(documents: DataFrame, length: int = 100, texts: bool = False) -> DataFrame:
+def _windows(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Hash, document and place of every window of some segments."""
+    many = np.maximum(hi - lo - length + 1, 0)
+    of = np.repeat(np.arange(len(lo)), many)
+    inside = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    key = np.empty(len(of), np.uint64)
+    for a in range(0, len(lo), 4096):  # segments, joined without the text between them
+        b = min(a + 4096, len(lo))
+        size = hi[a:b] - lo[a:b]
+        base = np.cumsum(size) - size
+        joined = data[np.repeat(lo[a:b] - base, size) + np.arange(size.sum())]
+        rows = slice(*np.searchsorted(of, [a, b]))
+        start = base[of[rows] - a] + inside[rows]
+        key[rows] = E.span_hash(E.prefix_hash(joined), start, start + length)
+    return key, doc[of], place[of] + inside
+
+
+def suffix_dedup(documents: DataFrame, length: int = 100, texts: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and with
     ``texts`` the kept bytes. See the module for nulls, ties and empty texts."""
     chunks = E.deal(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
@@ -147,27 +166,60 @@ def suffix_dedup(documents: DataFrame, length: int = 100, texts: bool = False) -
         later = (c["doc"] != c["doc"][first][run]) | (c["place"] != c["place"][first][run])
         group = E.grouped(c["key"])
         kinds = np.add.reduceat(np.isin(np.arange(len(order)), first).astype(np.int64), group) if len(order) else group
-        open_ = ~later & (E.run_of(group, len(order)) >= 0) & (kinds[E.run_of(group, len(order))] > 1)
-        keep = later | open_
-        return {"chunk": c["chunk"][keep], "key": c["s"][keep], "later": later[keep].astype(np.uint8)}
+        kinds = kinds[E.run_of(group, len(order))]
+        # 1: a repeat; 0: to compare; 2: to compare window by window
+        said = np.where(later, 1, np.where(kinds > hot, 2, 0)).astype(np.uint8)
+        keep = later | (kinds > 1)
+        return {"chunk": c["chunk"][keep], "key": c["s"][keep], "later": said[keep]}
+
+    def chosen(s, doc, place, said, kind):
+        """Segments of this chunk that are the corpus's first of theirs and have that reply."""
+        if not said:
+            return np.empty(0, np.int64)
+        found, at = E.member(said["key"], s)
+        pick = np.flatnonzero(found & (said["later"][at] == kind))
+        return pick[_first_of(s[pick], doc[pick], place[pick])]
 
     def open_segments(table, said):
         data, _, doc, _, g, own, s, lo, hi, place = _chunk_anchors(table, length)
-        found, at = E.member(said["key"], s) if said else (np.zeros(len(s), bool), None)
-        pick = np.flatnonzero(found & (said["later"][at] == 0)) if said else np.empty(0, np.int64)
-        pick = pick[_first_of(s[pick], doc[own[pick]], place[pick])]
-        pick = pick[np.argsort(g[pick], kind="stable")]
+        doc = doc[own]
+        pick = chosen(s, doc, place, said, 0)
         size = hi[pick] - lo[pick]
         at = np.arange(width)
         body = np.concatenate([data, np.full(width, 255, np.uint8)])[lo[pick][:, None] + at] if len(pick) else np.empty((0, width), np.uint8)
         body = np.where(at < size[:, None], body, 255).astype(np.uint8)
-        return {"key": g[pick], "doc": doc[own[pick]], "place": place[pick], "size": size.astype(np.uint16), "body": np.ascontiguousarray(body).view(f"V{width}").reshape(-1)}
+        many = chosen(s, doc, place, said, 2)
+        key, of, start = _windows(data, lo[many], hi[many], doc[many], place[many], length)
+        one = _first_of(key, of, start)
+        # a window has size 0 and no bytes
+        columns = {
+            "key": np.concatenate([g[pick], key[one]]), "doc": np.concatenate([doc[pick], of[one]]), "place": np.concatenate([place[pick], start[one]]),
+            "size": np.concatenate([size, np.zeros(len(one), np.int64)]).astype(np.uint16), "body": np.concatenate([body, np.full((len(one), width), 255, np.uint8)]),
+        }
+        order = np.argsort(columns["key"], kind="stable")
+        columns = {k: v[order] for k, v in columns.items()}
+        return columns | {"body": np.ascontiguousarray(columns["body"]).view(f"V{width}").reshape(-1)}
+
+    def answers(c):
+        whole = c["size"] == 0
+        spans = compared({k: v[~whole] for k, v in c.items()})
+        w = {k: v[whole] for k, v in c.items()}
+        order = np.lexsort((w["place"], w["doc"], w["key"]))
+        w = {k: v[order] for k, v in w.items()}
+        first = E.grouped(w["key"])
+        head = first[E.run_of(first, len(order))] if len(order) else first
+        other = np.flatnonzero(np.diff(np.append(first, len(order)))[E.run_of(first, len(order))] > 1) if len(order) else first
+        # of a window: the first document and place, with no length
+        return {
+            "chunk": np.concatenate([spans["chunk"], w["chunk"][other]]), "key": np.concatenate([spans["key"], w["key"][other]]), "start": np.concatenate([spans["start"], w["place"][head][other]]),
+            "many": np.concatenate([spans["many"], np.zeros(len(other), np.int32)]), "doc": np.concatenate([spans["key"].view(np.int64), w["doc"][head][other]]),
+        }
 
     def compared(c):
         n = len(c["key"])
         body = c["body"].view(np.uint8).reshape(n, width)
         size = c["size"].astype(np.int64)
-        out: list[tuple] = []
+        out: list[tuple] = [(c["chunk"][:0], c["doc"][:0], c["place"][:0], c["place"][:0])]
         cut = [*E.grouped(c["key"]).tolist(), n]
         a = 0
         for i, b in enumerate(cut[1:]):
@@ -192,7 +244,22 @@ def suffix_dedup(documents: DataFrame, length: int = 100, texts: bool = False) -
             found, at = E.member(settled_["key"], s)
             gone |= found & (settled_["later"][at] == 1)
         starts, ends = lo[gone], hi[gone]
+        many = chosen(s, doc[own], place, settled_, 2)
+        if len(many):
+            key, of, at = _windows(data, lo[many], hi[many], doc[own[many]], place[many], length)
+            first = _first_of(key, of, at)  # in this chunk; the corpus may have an earlier one
+            keys, of0, at0 = key[first], of[first], at[first]
+            if spans:
+                told = {k: v[spans["many"] == 0] for k, v in spans.items()}
+                found, where = E.member(told["key"], keys)
+                of0, at0 = np.where(found, told["doc"][where] if len(told["key"]) else of0, of0), np.where(found, told["start"][where] if len(told["key"]) else at0, at0)
+            _, where = E.member(keys, key)
+            again = (of != of0[where]) | (at != at0[where])
+            begin = (np.repeat(lo[many], np.maximum(hi[many] - lo[many] - length + 1, 0)) + at - np.repeat(place[many], np.maximum(hi[many] - lo[many] - length + 1, 0)))[again]
+            starts, ends = np.append(starts, begin), np.append(ends, begin + length)
         if spans:
+            spans = {k: v[spans["many"] > 0] for k, v in spans.items()}
+        if spans and len(spans["key"]):
             order = np.lexsort((nth, doc))
             # rows by (id, place among its rows); ids fit beside small places
             rows = {(d, k): i for d, k, i in zip(doc[order].tolist(), nth[order].tolist(), order.tolist())}
@@ -212,5 +279,5 @@ def suffix_dedup(documents: DataFrame, length: int = 100, texts: bool = False) -
         return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if texts else {}))
 
     first = E.ask(chunks, None, held, settled)
-    second = E.ask(chunks, first, open_segments, compared)
+    second = E.ask(chunks, first, open_segments, answers)
     return E.with_replies(chunks, first.union(second), cut_out, SCHEMA + ", kept binary" * texts, ("later", "many"))

@@ -24,6 +24,8 @@ def test_substring(documents, texts, none):
 
 def test_suffix(documents, texts, none):
     assert rows(suffix_dedup.suffix_dedup(documents)) == sorted(brute.suffix(texts))
+    for hot in (0, 3):  # anchors' segments window by window: all of them, and the commoner ones
+        assert rows(suffix_dedup.suffix_dedup(documents, hot=hot)) == sorted(brute.suffix(texts))
     assert rows(suffix_dedup.suffix_dedup(none)) == []
 
 
