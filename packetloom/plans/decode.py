@@ -7,6 +7,8 @@ does not use are pruned with everything that only they need.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,32 +43,31 @@ def _ipv4_fragment(header: Column) -> Column:
     return (header["flags"].bitwiseAND(1) != 0) | (header["fragment_offset"] != 0)
 
 
-def decode(frames: DataFrame, data: str = "data", config: ParseConfig = ParseConfig()) -> DataFrame:
-    """frames with a column for each of MEMBERS and ARRAYS, and ``error``.
+@lru_cache(32)
+def _stages(application: str, config: ParseConfig) -> tuple[list[tuple[Column, ...]], list[Column]]:
+    """What each projection adds to what is there, and what the last one gives. Columns name no
+    table, so an application makes them once."""
+    c, b = F.col, F.col("_b")
+    stages: list[tuple[Column, ...]] = []
 
-    A row decodes whole or not at all: where error (kind, proto_id, detail) is not NULL, all
-    members are NULL and both arrays empty. A NULL frame has neither error nor members.
-    """
-    kept = [F.col(f"`{c}`") for c in frames.columns]
-    c = F.col
-    b = c("_b")
-    rows = frames.select(*kept, F.col(data).alias("_b"), F.length(data).alias("_n"))
-    rows = rows.select("*", F.when(b.isNotNull(), link.link(b)).alias("_link"))
-    rows = rows.select("*", c("_link.ethertype").alias("_type"), c("_link.payload_offset").alias("_l3"))
-    rows = rows.select("*", F.when(c("_link.short") | (c("_l3") >= c("_n")), "InvalidLength").alias("_e1"))
+    def stage(*columns: Column) -> None:
+        stages.append(columns)
+
+    stage(F.when(b.isNotNull(), link.link(b)).alias("_link"))
+    stage(c("_link.ethertype").alias("_type"), c("_link.payload_offset").alias("_l3"))
+    stage(F.when(c("_link.short") | (c("_l3") >= c("_n")), "InvalidLength").alias("_e1"))
     at, left = c("_l3"), c("_n") - c("_l3")
 
     # network
     sound = c("_e1").isNull() & b.isNotNull()
-    rows = rows.select("*", F.when(sound, F.when(c("_type") == 0x0800, "ipv4").when(c("_type") == 0x86DD, "ipv6").when(c("_type") == 0x0806, "arp").when(c("_type").isin(0x8863, 0x8864), "pppoe").when(c("_type").isin(0x8847, 0x8848), "mpls").otherwise("other")).alias("_kind"))
+    stage(F.when(sound, F.when(c("_type") == 0x0800, "ipv4").when(c("_type") == 0x86DD, "ipv6").when(c("_type") == 0x0806, "arp").when(c("_type").isin(0x8863, 0x8864), "pppoe").when(c("_type").isin(0x8847, 0x8848), "mpls").otherwise("other")).alias("_kind"))
     kind = c("_kind")
     head = F.when(kind == "ipv4", network.ipv4_error(b, at)).when(kind == "ipv6", network.ipv6_error(b, at)).when(kind == "arp", link.arp_error(b, at)).when(kind == "pppoe", link.pppoe_error(b, at)).when(kind == "mpls", link.mpls_error(b, at))
     if config.strict:
         head = head.when(kind == "other", "ValidationError")
-    rows = rows.select("*", head.alias("_e2"))
+    stage(head.alias("_e2"))
     fine = c("_e2").isNull()
-    rows = rows.select(
-        "*",
+    stage(
         F.when(fine & (kind == "ipv4"), network.ipv4_header(b, at)).alias("_ipv4"),
         F.when(fine & (kind == "ipv6"), network.ipv6_header(b, at)).alias("_ipv6"),
         F.when(fine & (kind == "mpls"), link.mpls_walk(b, at, config.max_mpls_labels)).alias("_mpls"),
@@ -77,12 +78,11 @@ def decode(frames: DataFrame, data: str = "data", config: ParseConfig = ParseCon
     length = F.when(v4["total_length"] < v4["ihl"] * 4, "InvalidLength").when(v6["payload_length"] + 40 > left, "InvalidLength")
     if config.strict:
         length = length.when(cut, "InvalidLength")
-    rows = rows.select("*", length.alias("_e3"))
-    rows = rows.select("*", F.when(c("_e3").isNull() & v6.isNotNull(), network.extension_walk(b, at, config.max_ipv6_extension_headers)).alias("_walk"))
+    stage(length.alias("_e3"))
+    stage(F.when(c("_e3").isNull() & v6.isNotNull(), network.extension_walk(b, at, config.max_ipv6_extension_headers)).alias("_walk"))
     walk = c("_walk")
     skipped = walk["limited"] | walk["non_initial"]
-    rows = rows.select(
-        "*",
+    stage(
         F.when(c("_e3").isNull(), F.when(v4.isNotNull(), v4["protocol"]).when(walk["error"].isNull() & ~skipped, walk["next_header"])).alias("_proto"),
         F.when(v4.isNotNull(), at + v4["ihl"] * 4).when(v6.isNotNull(), at + walk["offset"]).alias("_l4"),
         F.when(v4.isNotNull(), at + F.least(v4["total_length"], left)).when(v6.isNotNull(), at + 40 + v6["payload_length"]).alias("_end"),
@@ -90,18 +90,17 @@ def decode(frames: DataFrame, data: str = "data", config: ParseConfig = ParseCon
 
     # transport
     proto, l4, end = c("_proto"), c("_l4"), c("_end")
-    rows = rows.select("*", transport.transport_error(b, proto, l4, end).alias("_e4"))
-    rows = rows.select("*", F.coalesce("_e1", "_h2", "_e3", walk["error"], "_e4").alias("_error"))
+    stage(transport.transport_error(b, proto, l4, end).alias("_e4"))
+    stage(F.coalesce("_e1", "_h2", "_e3", walk["error"], "_e4").alias("_error"))
     good = c("_error").isNull()
     is_ = lambda number: good & (proto == number)
-    rows = rows.select("*", F.when(is_(transport.TCP), transport.tcp(b, l4)).alias("_tcp"), F.when(is_(transport.UDP), transport.udp(b, l4)).alias("_udp"), _held("_error").alias("_h4"))
+    stage(F.when(is_(transport.TCP), transport.tcp(b, l4)).alias("_tcp"), F.when(is_(transport.UDP), transport.udp(b, l4)).alias("_udp"), _held("_error").alias("_h4"))
     good = c("_h4").isNull()
     udp = c("_udp")
-    rows = rows.select("*", F.when(udp.isNotNull(), raw(b, l4 + 8, udp["length"] - 8)).alias("_app"))
+    stage(F.when(udp.isNotNull(), raw(b, l4 + 8, udp["length"] - 8)).alias("_app"))
     m = c("_app")
     asked = app.port_is(udp, 53, 5353) & app.likely_dns(m)
-    rows = rows.select(
-        "*",
+    stage(
         F.when(udp.isNotNull(), app.hints(udp, m)).alias("_hints"),
         F.when(asked, dns(m)).alias("_dns"),
         F.when(app.port_is(udp, 4789), app.vxlan(m)).alias("_vxlan"),
@@ -153,4 +152,18 @@ def decode(frames: DataFrame, data: str = "data", config: ParseConfig = ParseCon
     members = [F.when(good, value).alias(name) for name, value in out.items()]
     arrays = [F.coalesce(F.when(good, c("_hints")), F.array().cast("array<string>")).alias("udp_hints"), F.coalesce(F.when(good, warned), F.array().cast(_WARNING)).alias("warnings")]
     error = F.when(~good, F.struct(c("_error").alias("kind"), F.lit(None).cast("int").alias("proto_id"), detail.alias("detail"))).alias("error")
-    return rows.select(*kept, *members, *arrays, error)
+    return stages, [*members, *arrays, error]
+
+
+def decode(frames: DataFrame, data: str = "data", config: ParseConfig = ParseConfig()) -> DataFrame:
+    """frames with a column for each of MEMBERS and ARRAYS, and ``error``.
+
+    A row decodes whole or not at all: where error (kind, proto_id, detail) is not NULL, all
+    members are NULL and both arrays empty. A NULL frame has neither error nor members.
+    """
+    kept = [F.col(f"`{c}`") for c in frames.columns]
+    stages, out = _stages(frames.sparkSession.sparkContext.applicationId, config)
+    rows = frames.select(*kept, F.col(data).alias("_b"), F.length(data).alias("_n"))
+    for columns in stages:
+        rows = rows.select("*", *columns)
+    return rows.select(*kept, *out)
