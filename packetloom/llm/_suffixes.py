@@ -146,7 +146,7 @@ def _named(text: np.ndarray, left: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Permuted common prefixes up to ``most``: for each place of the text, how long a prefix
-    its suffix shares with the suffix before it in order."""
+    its suffix shares with the suffix before it in order (all suffixes or some of them)."""
     n = len(text)
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]

@@ -112,11 +112,11 @@ def repeats(segments: np.ndarray, size: np.ndarray, doc: np.ndarray, place: np.n
     text[:, :width] = segments
     text = text.reshape(-1)
     order = suffix_array(text)
-    shared = common_prefixes(text, order, length)
     row, start = np.divmod(order, width + 1)
+    # nothing that is no whole window can lie between two equal windows
     whole = start + length <= size[row]
-    run = np.cumsum(shared[order] < length)
-    run, row, start = run[whole], row[whole], start[whole]
+    order, row, start = order[whole], row[whole], start[whole]
+    run = np.cumsum(common_prefixes(text, order, length)[order] < length)
     order = np.lexsort((place[row] + start, doc[row], run))
     run, row, start = run[order], row[order], start[order]
     first = E.grouped(run)
