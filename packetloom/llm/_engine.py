@@ -129,6 +129,15 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return _mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
 
 
+def gram_hash(sums: np.ndarray, size: int) -> np.ndarray:
+    """``span_hash`` of the bytes from every place on, of one size."""
+    back = _powers(pow(_BASE, -1, 1 << 64), len(sums))[: len(sums) - size]
+    h = sums[size:] - sums[:-size]
+    h *= back
+    h += U64(size * 0xC2B2AE3D27D4EB4F & (2**64 - 1))
+    return _mixed(h)
+
+
 def separators(pattern: bytes) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(pattern)] = True

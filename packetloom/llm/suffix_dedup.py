@@ -57,16 +57,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         none = np.empty(0, np.int64)
         return none.view(np.uint64), none, none.view(np.uint64), none, none
     sums = E.prefix_hash(data)
-    start = np.arange(n - gram + 1)
-    g = E.span_hash(sums, start, start + gram) | np.uint64(1)
+    g = E.gram_hash(sums, gram) | np.uint64(1)
     low = _extreme(g, reach + 1, True)  # by window's start
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    end = offsets[text + 1]
-    low[np.arange(len(low)) + length > end[: len(low)]] = 0
+    # of each text's last places, from which no whole window fits
+    size = np.diff(offsets)
+    short = np.minimum(size, length - 1)
+    last = np.repeat(offsets[1:] - short - (np.cumsum(short) - short), short) + np.arange(short.sum())
+    low[last[last < len(low)]] = 0
     # the greatest least value over the windows that hold a place is its own: an anchor
     most = _extreme(np.concatenate([np.zeros(reach, np.uint64), low, np.zeros(reach, np.uint64)]), reach + 1, False)
     at = np.flatnonzero(most[: len(g)] == g)
-    own = text[at]
+    own = np.searchsorted(offsets, at, "right") - 1
     lo, hi = np.maximum(at - reach, offsets[own]), np.minimum(at + length, offsets[own + 1])
     # anchors' hashes are small ones; mixed again they spread over all ranges of keys
     return E.mixed(g[at]), own, E.mixed(E.span_hash(sums, lo, hi) + (at - lo).astype(np.uint64)), lo, hi
