@@ -6,8 +6,9 @@ share its first run. A seed's first document (by id) is a candidate for every la
 that holds the seed, so a seed of n documents makes n - 1 pairs and not n squared, and no
 frequency is too high to be found. Each pair's line hashes are aligned by patience diff;
 aligned common blocks of ``least_words`` words are deleted from the later document, and what
-is left is aligned again until nothing more is found, so moved blocks are found too. Only
-hashes travel to the pairs; texts are joined once, with the numbers of their deleted lines.
+is left is aligned again until nothing more is found, so moved blocks are found too. Lines
+that the alignment leaves go with any run of so many words that the earlier document has,
+so each copy of a passage that either document repeats is found. Only hashes travel to the pairs; texts are joined once, with the numbers of their deleted lines.
 
 Lines are split at line feeds and compared without outer white space. Deletion is judged
 on the input: the earlier document counts whole, whatever is deleted from it.
@@ -76,6 +77,52 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def repeated(a: list[int], b: list[int], words: list[int], least_words: int) -> list[int]:
+    """Places of b in runs of ``least_words`` words or more that a has anywhere, however often
+    either has them: matching statistics over a suffix automaton of a."""
+    have = set(a)
+    if sum(w for x, w in zip(b, words) if x in have) < least_words:
+        return []
+    to: list[dict[int, int]] = [{}]
+    link, size, last = [-1], [0], 0
+    for x in a:
+        new = len(to)
+        to.append({})
+        size.append(size[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and x not in to[p]:
+            to[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = to[p][x]
+            if size[q] > size[p] + 1:
+                copy = len(to)
+                to.append(dict(to[q]))
+                size.append(size[p] + 1)
+                link.append(link[q])
+                while p >= 0 and to[p].get(x) == q:
+                    to[p][x] = copy
+                    p = link[p]
+                link[q] = q = copy
+            link[new] = q
+        last = new
+    total = [0]
+    for w in words:
+        total.append(total[-1] + w)
+    out, state, run, done = [], 0, 0, 0
+    for k, x in enumerate(b):
+        while state and x not in to[state]:
+            state = link[state]
+            run = size[state]
+        if x in to[state]:
+            state, run = to[state][x], run + 1
+        if run and total[k + 1] - total[k + 1 - run] >= least_words:
+            out += range(max(done, k + 1 - run), k + 1)
+            done = k + 1
+    return out
+
+
 def deleted(earlier: list[int], later: list[int], words: list[int], least_words: int) -> list[int]:
     """Numbers of the later document's lines that lie in aligned common blocks."""
     live, gone = list(range(len(later))), []
@@ -87,10 +134,13 @@ def deleted(earlier: list[int], later: list[int], words: list[int], least_words:
             else:
                 blocks.append([(p, q)])
         found = [live[q] for block in blocks if sum(words[live[q]] for _, q in block) >= least_words for _, q in block]
-        if not found:
+        # what repeats in either document has no unique line to align it
+        left, have = set(found), set(earlier)
+        if any(k not in left and later[k] in have for k in live):
+            left |= {live[q] for q in repeated(earlier, [later[k] for k in live], [words[k] for k in live], least_words)}
+        if not left:
             break
-        gone += found
-        left = set(found)
+        gone += sorted(left)
         live = [k for k in live if k not in left]
     return gone
 
