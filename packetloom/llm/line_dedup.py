@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from packetloom.llm import _engine as E
 
 LEAST_WORDS = 30
+#: The query's: rare single lines are seeds, and only blocks of one or two words stay.
+FLOOR_WORDS = 3
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:

@@ -13,7 +13,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(read(spark, sf_dir, "documents"))
+    return line_dedup.report(read(spark, sf_dir, "documents"), line_dedup.FLOOR_WORDS)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,3 +43,12 @@ def test_repeated_passage_in_rows(spark):
     docs = [(1, f"one\n{passage}"), (2, f"two\n{passage}\n{passage}\nthree"), (3, f"four\n{passage}")]
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 2, 3: 1}
+
+
+def test_query_finds_short_blocks(spark, tmp_path):
+    from packetloom.llm.queries import op2_line_dedup
+
+    base = [f"line {i} has seven words of text" for i in range(12)]
+    docs = [(1, "\n".join(base)), (2, "\n".join(x if i % 3 else f"edit {i}" for i, x in enumerate(base))), (3, "a short text"), (4, "a short text")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["n_removed"] for r in op2_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 8, 3: 0, 4: 1}
