@@ -2,8 +2,9 @@
 
 A sketch keeps every hash of a word shingle below a fixed fraction of the hash space, so
 its size follows the document's, sketches merge by union, and containment can be estimated
-between very unequal documents. A text none of whose hashes is below it keeps its smallest
-one, so that short texts can be compared too; a text of fewer words than a shingle is one
+between very unequal documents. A text of at most ``WHOLE`` different shingles keeps all its
+hashes; two such sketches are compared whole, others over the fraction that both keep. A
+text of fewer words than a shingle is one
 shingle, a text without words has an empty sketch.
 
 Rows: one for each input row; null text counts as empty. Rows that share a doc_id are
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from packetloom.llm import _engine as E
 
 SHINGLE, FRACTION = 5, 1 / 8
+#: Texts of so many different shingles keep all hashes.
+WHOLE = 1024
 _LARGEST = 2**63 - 1
 
 
@@ -26,8 +29,19 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _low(s: Column, fraction: float) -> Column:
+    return F.filter(s, lambda x: x < int(2**63 * fraction))
+
+
+def _is_whole(s: Column, fraction: float) -> Column:
+    """Whether all hashes are kept: some lies above the fraction, or they are so few that
+    no text of more than WHOLE shingles keeps as few below it."""
+    return (F.size(s) <= 8) | (F.array_max(s) >= int(2**63 * fraction))
+
+
 def sketch(text: Column, size: int = SHINGLE, fraction: float = FRACTION) -> Column:
-    """Sorted hashes (63 bits) of the text's word shingles below ``fraction`` of the space."""
+    """Sorted hashes (63 bits) of the text's word shingles: all of a short text, else those
+    below ``fraction`` of the space."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
 
     def shingles(h: Column) -> Column:
@@ -38,21 +52,29 @@ def sketch(text: Column, size: int = SHINGLE, fraction: float = FRACTION) -> Col
         return F.when(F.size(h) >= size, full).when(F.size(h) > 0, F.array(F.xxhash64(h).bitwiseAND(_LARGEST))).otherwise(F.array().cast("array<bigint>"))
 
     def kept(s: Column) -> Column:
-        low = F.filter(s, lambda x: x < int(2**63 * fraction))
-        return F.when(F.size(s) == 0, s).otherwise(_let(low, lambda y: F.when(F.size(y) > 0, F.sort_array(F.array_distinct(y))).otherwise(F.array(F.array_min(s)))))
+        return _let(F.array_distinct(s), lambda y: F.sort_array(F.when(F.size(y) <= WHOLE, y).otherwise(_low(y, fraction))))
 
     return _let(_let(F.transform(words, lambda w: F.xxhash64(w)), shingles), kept)
 
 
-def merged(a: Column, b: Column) -> Column:
+def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     """The sketch of both texts' shingles together, from their sketches."""
-    return F.sort_array(F.array_union(a, b))
+    whole = _is_whole(a, fraction) & _is_whole(b, fraction)
+    return _let(F.array_union(a, b), lambda u: F.sort_array(F.when(whole & (F.size(u) <= WHOLE), u).otherwise(_low(u, fraction))))
+
+
+def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Share of the smaller text's hashes that the other holds, 0 to 1, over the range that
+    both keep; two empty texts: 1; nothing of one in that range: 0."""
+    whole = _is_whole(a, fraction) & _is_whole(b, fraction)
 
+    def share(p: Column) -> Column:
+        x, y = p["a"], p["b"]
+        smaller = F.least(F.size(x), F.size(y))
+        return F.when(smaller == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / smaller)
 
-def containment(a: Column, b: Column) -> Column:
-    """Share of the smaller sketch that the other holds, 0 to 1; two empty ones: 1."""
-    smaller = F.least(F.size(a), F.size(b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(smaller == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / smaller)
+    both = F.when(whole, F.struct(a.alias("a"), b.alias("b"))).otherwise(F.struct(_low(a, fraction).alias("a"), _low(b, fraction).alias("b")))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(_let(both, share))
 
 
 def as_text(s: Column) -> Column:
@@ -92,12 +114,12 @@ def edited_fingerprints(documents: DataFrame, size: int = SHINGLE, fraction: flo
     each text's sketch against that of the text whose last half the next document's start
     replaces, and against the next document's own."""
     own = F.col("text")
-    rows = with_next(documents, sketch(own, size, fraction).alias("s"))
+    rows = with_next(documents)  # sketches are as large as short texts: made after the shuffle
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "s", F.col("next.s").alias("t"), edited.alias("edited"))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), sketch(own, size, fraction).alias("s"), sketch(F.col("next.text"), size, fraction).alias("t"), edited.alias("edited"))
     rows = rows.select("doc_id", "n_chars", "s", "t", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("edited"), size, fraction).alias("e"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("s")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
-        containment(F.col("s"), F.col("e")).alias("near_edited"), containment(F.col("s"), F.col("t")).alias("near_next"),
+        containment(F.col("s"), F.col("e"), fraction).alias("near_edited"), containment(F.col("s"), F.col("t"), fraction).alias("near_next"),
     )
