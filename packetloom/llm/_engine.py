@@ -1,12 +1,13 @@
 """What the operators of this package share.
 
-* ``read``/``stored``: tables in, intermediate tables out to the shared folder.
-* ``text_bytes``, ``words``, ``span_hash`` ...: whole texts as NumPy arrays, without a
+* ``read``/``stored``/``removed``: tables in, intermediate tables out to the shared folder
+  and away when nothing reads them any more.
+* ``text_bytes``, ``words``, ``word_hash`` ...: whole texts as NumPy arrays, without a
   Python object per word.
-* ``deal``/``ask``: documents are dealt to chunks once; a chunk asks the whole corpus
-  about hashes in packed messages (sorted, delta coded) and gets packed answers. One
-  hash costs a few shuffled bytes, a chunk sends each hash once however often it holds
-  it, so a hot hash is pre-aggregated before the shuffle.
+* ``deal``/``ask``: documents are dealt to chunks of bounded bytes once; a chunk asks the
+  whole corpus about hashes in packed messages (sorted, delta coded) and gets packed
+  answers. One hash costs a few shuffled bytes, a chunk sends each hash once however often
+  it holds it, so a hot hash is pre-aggregated before the shuffle.
 """
 
 from __future__ import annotations
@@ -17,17 +18,22 @@ import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Bytes of text that NumPy works on at once; a longer document is worked on alone.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that NumPy works on at once, so that its arrays stay in the processor's cache;
+#: a longer document is worked on alone.
+SLICE_BYTES = 1 << 18
+#: Bytes of text that make a chunk (and a range of keys), so that neither grows with the corpus.
+CHUNK_BYTES = 48 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,20 +48,82 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; an own one only where none is set (local runs)."""
+    """The folder that all executors share. Where none is set, an own one, in local mode only:
+    on a cluster each executor would write to its own disk and reads would miss the rest."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master or ""
+    if not found and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (found or f"file://{_own_folder()}").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/loom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/loom-{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_remove_made, spark)
+    _made.add(path)
+    return path
+
+
+#: Paths in the shared folder that this process has made and not yet removed.
+_made: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _made.discard(path)
+
+
+def _remove_made(spark: SparkSession) -> None:
+    """What lazy results still needed goes with the session."""
+    try:
+        for path in list(_made):
+            _delete(spark, path)
+    except Exception:  # noqa: BLE001  the JVM may be gone already
+        pass
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: cuts the lineage durably."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Takes a stored table away, once no later read needs it."""
+    _delete(df.sparkSession, df._stored_at)
+
+
+#: Bits of the map by which ``parted`` tells rows apart: 8 MB, whatever the input.
+MAP_BITS = 1 << 26
+
+
+def parted(rows: DataFrame, keys: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+    """rows in two parts: those that may have one of the keys (all that do are among them, and
+    few others while keys are far fewer than MAP_BITS), and those that have none. A join of
+    the first part need not move the second."""
+    bit = F.pmod(F.xxhash64(*names), F.lit(MAP_BITS))
+    piece = keys.select(bit.alias("_p")).groupBy(F.shiftright("_p", 15).alias("_b")).agg(F.bitmap_construct_agg(F.col("_p") % 32768).alias("_m"))
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    for b, m in piece.collect():  # 2048 pieces of 4 KB at most
+        bits[b * 4096 : (b + 1) * 4096] = np.frombuffer(m, np.uint8)
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def split(wanted: bool) -> DataFrame:
+        def scan(batches):
+            for batch in batches:
+                at = batch.column("_p").to_numpy()
+                yield batch.filter(pa.array((held.value[at >> 3] >> (at & 7) & 1 == 1) == wanted))
+
+        marked = rows.withColumn("_p", bit)
+        return marked.mapInArrow(scan, marked.schema).drop("_p")
+
+    return split(True), split(False)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -129,6 +197,40 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return _mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
 
 
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], U64)
+_LONG_WORD = 64
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span, for words and lines of any make: eight bytes at a
+    time are mixed in, so no structure of a long text cancels out as it may in a running sum."""
+    out = np.zeros(len(starts), U64)
+    if not len(starts):
+        return out
+    if not data.flags.c_contiguous:
+        data = np.ascontiguousarray(data)
+    eight = np.frombuffer(np.concatenate([data, np.zeros(8, np.uint8)]).data, np.uint8)
+    eight = np.lib.stride_tricks.as_strided(eight[:8].view(U64), (len(data) + 1,), (1,))
+    size = ends - starts
+    short = size <= _LONG_WORD
+    live = np.arange(len(starts)) if short.all() else np.flatnonzero(short)
+    h = size[live].astype(U64) * U64(0xC2B2AE3D27D4EB4F)
+    at, left = starts[live], size[live]
+    while True:
+        lane = eight[at] & _MASKS[np.minimum(left, 8)]
+        h = _mixed((h ^ lane) * U64(0x9E3779B97F4A7C15) + U64(0xD1342543DE82EF95))
+        done = left <= 8
+        if done.all():
+            out[live] = h
+            break
+        out[live[done]] = h[done]
+        go = ~done
+        live, h, at, left = live[go], h[go], at[go] + 8, left[go] - 8
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return out
+
+
 def gram_hash(sums: np.ndarray, size: int) -> np.ndarray:
     """``span_hash`` of the bytes from every place on, of one size."""
     back = _powers(pow(_BASE, -1, 1 << 64), len(sums))[: len(sums) - size]
@@ -244,11 +346,28 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def deal(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """df with the chunk of each row. Chunks are whole partitions' worth, evenly filled
-    whatever the ids; all rows of an id share a chunk."""
-    n = partitions(df.sparkSession)
-    return df.withColumn("chunk", F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(n)).cast("int"))
+@dataclass(frozen=True)
+class Dealt:
+    """Rows with the chunk of each, the number of chunks, and of ranges of keys."""
+
+    rows: DataFrame
+    n: int
+
+    def with_rows(self, rows: DataFrame) -> Dealt:
+        return Dealt(rows, self.n)
+
+
+def text_size(df: DataFrame) -> int:
+    """Bytes of df's texts: the files' size where the plan knows it, else counted."""
+    said = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return said if said < 1 << 56 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
+def deal(df: DataFrame, key: str = "doc_id") -> Dealt:
+    """df with the chunk of each row. Chunks hold about CHUNK_BYTES at most (and are as many as
+    partitions at least), evenly filled whatever the ids; all rows of an id share a chunk."""
+    n = max(partitions(df.sparkSession), -(-text_size(df) // CHUNK_BYTES))
+    return Dealt(df.withColumn("chunk", F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(n)).cast("int")), n)
 
 
 MESSAGE, REPLY = "bucket int, chunk int, blob binary", "chunk int, blob binary"
@@ -258,7 +377,7 @@ def _bounds(n: int) -> np.ndarray:
     return np.array([(i << 64) // n for i in range(1, n)], U64)
 
 
-def ask(chunks: DataFrame, others: DataFrame | None, emit: Callable, answer: Callable) -> DataFrame:
+def ask(chunks: Dealt, others: DataFrame | None, emit: Callable, answer: Callable) -> DataFrame:
     """Replies by chunk to what each chunk asks.
 
     ``emit(chunk's table, replies so far)`` gives columns of one length, "key" sorted.
@@ -266,7 +385,7 @@ def ask(chunks: DataFrame, others: DataFrame | None, emit: Callable, answer: Cal
     in a range, sorted by key, with "chunk" beside them, and gives the columns that go
     back to their chunks.
     """
-    n = partitions(chunks.sparkSession)
+    n = chunks.n
 
     def messages(chunk: int, columns: dict[str, np.ndarray]) -> pa.Table:
         cut = [0, *np.searchsorted(columns["key"], _bounds(n)).tolist(), len(columns["key"])]
@@ -300,9 +419,9 @@ def ask(chunks: DataFrame, others: DataFrame | None, emit: Callable, answer: Cal
         })
 
     if others is None:
-        sent = chunks.groupBy("chunk").applyInArrow(asked, MESSAGE)
+        sent = chunks.rows.groupBy("chunk").applyInArrow(asked, MESSAGE)
     else:
-        sent = chunks.groupBy("chunk").cogroup(others.groupBy("chunk")).applyInArrow(asked_again, MESSAGE)
+        sent = chunks.rows.groupBy("chunk").cogroup(others.groupBy("chunk")).applyInArrow(asked_again, MESSAGE)
     return sent.groupBy("bucket").applyInArrow(answered, REPLY)
 
 
@@ -316,14 +435,14 @@ def replied(replies: pa.Table, having: str = "key") -> dict[str, np.ndarray]:
     return {k: v[order] for k, v in out.items()}
 
 
-def with_replies(chunks: DataFrame, replies: DataFrame, finish: Callable, schema: str, kinds: tuple[str, ...] = ("key",)) -> DataFrame:
+def with_replies(chunks: Dealt, replies: DataFrame, finish: Callable, schema: str, kinds: tuple[str, ...] = ("key",)) -> DataFrame:
     """``finish(chunk's table, its replies)`` for every chunk, replies or none; one argument of
     replies for each of the columns that tell their kinds apart."""
 
     def both(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
         return finish(table, *(replied(said, k) for k in kinds))
 
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(both, schema)
+    return chunks.rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(both, schema)
 
 
 def grouped(keys: np.ndarray) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars.
 
 Edges stay distributed; each round is written to the shared folder, so a lost executor
-costs a round's tasks and not the iteration's lineage.
+costs a round's tasks and not the iteration's lineage. A round's table goes when the next
+one is written.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm._engine import stored
+from packetloom.llm._engine import removed, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
     before = None
     while True:
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        old, edges = edges, stored(_small_star(_large_star(edges)), "edges")
+        removed(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
