@@ -3,13 +3,15 @@
 Every document's words are cut into non-overlapping reference blocks of half a window;
 any window that repeats holds one of the earlier document's blocks whole. The corpus is
 asked about blocks (an index entry each) and about every rolling window of block size (a
-probe each, hashes only). Where a probe meets a block, both sides extend the hit: all
-windows around it are compared over the corpus by hash, and those that an earlier document
-holds merge into maximal exact repeats.
+probe each, hashes only). Where a probe meets a block, both sides extend the hit to all
+windows around it, whose words are compared by 96 bits of hash (64 deal them out, 32 of
+another hash check them), so that a hit shared by very many documents is spread over all
+tasks; windows that an earlier document holds merge into maximal exact repeats.
 
 Rows: one for each input row. Null text: no words. Empty and short texts have no windows
-and stay whole. Rows that share a doc_id do not remove each other's words (neither is
-smaller); a null doc_id counts as the smallest. Extra columns are ignored.
+and stay whole; very long ones are worked on alone. Rows that share a doc_id do not remove
+each other's words (neither is smaller); a null doc_id counts as the smallest. No documents:
+no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +28,29 @@ from packetloom.llm import _engine as E
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _min_max(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Unique sorted keys with the least and greatest value of each."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = E.grouped(key)
+def _same(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Where each run of equal (key, check) begins; sorted by both."""
+    if not len(key):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])]))
+
+
+def _min_max(key: np.ndarray, check: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different (key, check), sorted, with the least and greatest value of each."""
+    order = np.lexsort((check, key))
+    key, check = key[order], check[order]
+    first = _same(key, check)
     if not len(first):
-        return key, low, high
-    return key[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+        return key, check, low, high
+    return key[first], check[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+
+
+def _check(hashes: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
+    """32 bits of another hash of the windows that start at some places."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(size):
+        out = (out ^ E.mixed(hashes[at + i] + np.uint64(i))) * np.uint64(0x9FB21C651E98DF25)
+    return (E.mixed(out) >> np.uint64(32)).astype(np.uint32)
 
 
 def _parsed(table: pa.Table, window: int):
@@ -43,7 +60,7 @@ def _parsed(table: pa.Table, window: int):
     for a, b in E.slices(offsets):
         part = data[offsets[a] : offsets[b]]
         starts, ends, at = E.words(part, offsets[a : b + 1] - offsets[a], E.WHITE)
-        yield doc[a:b], part, starts, ends, at, E.span_hash(E.prefix_hash(part), starts, ends)
+        yield doc[a:b], part, starts, ends, at, E.word_hash(part, starts, ends)
 
 
 def substring_dedup(documents: DataFrame, window: int = 13, texts: bool = False) -> DataFrame:
@@ -91,7 +108,7 @@ def substring_dedup(documents: DataFrame, window: int = 13, texts: bool = False)
         return {"chunk": c["chunk"][keep], "key": c["key"][keep], "least": least[run][keep]}
 
     def around(table, said):
-        keys, docs = [], []
+        keys, checks, docs = [], [], []
         if said:
             for doc, _, _, _, at, hashes in _parsed(table, window):
                 ok = E.whole(at, block)
@@ -103,17 +120,20 @@ def substring_dedup(documents: DataFrame, window: int = 13, texts: bool = False)
                 full = E.whole(at, window)
                 near = E.covered(np.maximum(hits - (window - block), 0), hits + 1, len(full) + window)[: len(full)] & full
                 keys.append(E.windows(hashes, window)[near])
+                checks.append(_check(hashes, window, np.flatnonzero(near)))
                 docs.append(doc[E.owner(at)[: len(full)][near]])
-        key, doc = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.uint64), (docs, np.int64)))
-        key, low, high = _min_max(key, doc, doc)
-        return {"key": key, "low": low, "more": high - low}
+        key, check, doc = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.uint64), (checks, np.uint32), (docs, np.int64)))
+        key, check, low, high = _min_max(key, check, doc, doc)
+        return {"key": key, "check": check, "low": low, "more": high - low}
 
     def earlier(c):
-        first = E.grouped(c["key"])
+        order = np.lexsort((c["check"], c["key"]))
+        c = {k: v[order] for k, v in c.items()}
+        first = _same(c["key"], c["check"])
         run = E.run_of(first, len(c["key"]))
         least = np.minimum.reduceat(c["low"], first)[run]
         keep = least < c["low"] + c["more"]
-        return {"chunk": c["chunk"][keep], "key": c["key"][keep], "least": least[keep]}
+        return {k: c[k][keep] for k in ("chunk", "key", "check")} | {"least": least[keep]}
 
     def cut(table, said):
         out = {"doc_id": table.column("doc_id"), "n_words": [], "n_removed": [], "kept_sha256": [], "text": []}
@@ -121,8 +141,19 @@ def substring_dedup(documents: DataFrame, window: int = 13, texts: bool = False)
             full = E.whole(at, window)
             if said and len(full):
                 key = E.windows(hashes, window)
-                found, where = E.member(said["key"], key)
-                hits = np.flatnonzero(found & full & (said["least"][where] < doc[E.owner(at)[: len(full)]]))
+                at_ = np.flatnonzero(full)
+                at_ = at_[E.member(said["key"], key[at_])[0]]
+                check = _check(hashes, window, at_)
+                # equal keys with other checks lie side by side; mostly there is one
+                where = np.searchsorted(said["key"], key[at_])
+                hits, mine = [], doc[E.owner(at)[at_]]
+                while len(at_):
+                    hits.append(at_[(said["check"][where] == check) & (said["least"][where] < mine)])
+                    where = where + 1
+                    more = np.flatnonzero(said["key"][np.minimum(where, len(said["key"]) - 1)] == key[at_])
+                    more = more[where[more] < len(said["key"])]
+                    at_, where, check, mine = at_[more], where[more], check[more], mine[more]
+                hits = np.concatenate(hits) if hits else np.empty(0, np.int64)
             else:
                 hits = np.empty(0, np.int64)
             gone = E.covered(hits, hits + window, len(starts))
@@ -141,8 +172,7 @@ def substring_dedup(documents: DataFrame, window: int = 13, texts: bool = False)
         types = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "text": pa.string()}
         return pa.table({k: v if k == "doc_id" else pa.array(v, types[k]) for k, v in out.items() if texts or k != "text"})
 
-    documents.sparkSession  # noqa: B018
     hits = E.ask(chunks, None, blocks, met)
     repeats = E.ask(chunks, hits, around, earlier)
-    chunks = chunks.withColumn("doc_id", F.col("doc_id").cast("long"))
+    chunks = chunks.with_rows(chunks.rows.withColumn("doc_id", F.col("doc_id").cast("long")))
     return E.with_replies(chunks, repeats, cut, SCHEMA + ", text string" * texts)
