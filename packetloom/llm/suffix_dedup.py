@@ -3,18 +3,23 @@
 Every window of ``length`` bytes contains an anchor: a place whose 32 bytes hash lowest
 among the window's. Equal windows have equal anchors, so the corpus is asked about anchors
 only, some 3 for each 100 bytes. The bytes around an anchor that its windows can reach are
-its segment. Of equal segments all but the first are repeated throughout, which hashes
-settle; only the first ones of different segments that share an anchor can still have
-windows in common. Their bytes are dealt to shards by anchor. A shard's suffix array is
-induced, permuted common prefixes tell runs of suffixes that share a whole window, and of
-each run all but the first place are repeats. An anchor that more than ``HOT`` different
-segments share would fill a shard by itself: the corpus is asked about each window of those
-segments instead, a hash once for each chunk, so no task holds them together.
+its segment. Of equal segments (64 bits of hash of at most 168 bytes, beside the anchor's
+64) all but the first are repeated throughout, so they go before any sorting; only the first
+ones of different segments that share an anchor can still have windows in common. Their
+bytes are dealt to shards by anchor. A shard's suffix array is induced, permuted common
+prefixes tell runs of suffixes that share a whole window, and of each run all but the first
+place are repeats.
+
+Segments are dealt by their own hash, and each chunk tells of an anchor only how many it has,
+so no task holds what a common anchor has. An anchor with more than ``HOT`` would fill a shard
+by itself: the corpus is asked about each window of its different segments instead, a hash
+once for each chunk.
 
 Texts are UTF-8 bytes, matches never cross documents, and strings are judged on the input.
-Rows: one for each input row. Null text: empty; texts shorter than a window stay whole.
-Rows that share a doc_id are ordered by text, so of repeated rows one stays. A null doc_id
-counts as the smallest. Extra columns are ignored.
+Rows: one for each input row. Null text: empty; texts shorter than a window stay whole, very
+long ones are worked on alone. Rows that share a doc_id are ordered by text, so of repeated
+rows one stays. A null doc_id counts as the smallest. No documents: no rows. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -31,21 +36,20 @@ from packetloom.llm._suffixes import common_prefixes, suffix_array
 
 GRAM, SHARD_BYTES, HOT = 32, 1 << 20, 4096
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+COMPARE, LATER, MANY = 0, 1, 2  # replies: of an anchor, of a segment, of an anchor
 _ROW = 1 << 40  # rows of one doc_id lie this far apart in positions
 
 
 def _extreme(values: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Least (or greatest) of each ``width`` values in a row, by running extremes of blocks."""
-    f, fill = (np.minimum, np.uint64(2**64 - 1)) if least else (np.maximum, np.uint64(0))
-    n = len(values)
-    if n < width:
+    """Least (or greatest) of each ``width`` values in a row, by doubling widths."""
+    if len(values) < width:
         return np.empty(0, np.uint64)
-    full = np.full(-(-n // width) * width, fill)
-    full[:n] = values
-    blocks = full.reshape(-1, width)
-    ahead = f.accumulate(blocks, axis=1).reshape(-1)
-    back = f.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return f(back[: n - width + 1], ahead[width - 1 : n])
+    f, step = np.minimum if least else np.maximum, 1
+    while 2 * step <= width:
+        values = f(values[:-step], values[step:])
+        step *= 2
+    rest = width - step
+    return f(values[:-rest], values[rest:]) if rest else values
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -156,40 +160,57 @@ def suffix_dedup(documents: DataFrame, length: int = 100, texts: bool = False, h
     def held(table, _):
         _, _, doc, _, g, own, s, _, _, place = _chunk_anchors(table, length)
         one = _first_of(s, doc[own], place)
-        one = one[np.argsort(g[one], kind="stable")]
-        return {"key": g[one], "s": s[one], "doc": doc[own[one]], "place": place[one]}
+        segment = {"key": s[one], "anchor": np.zeros(len(one), np.uint8), "a": doc[own[one]], "b": place[one]}
+        # of an anchor: how many different segments are here, and the least and greatest of them
+        one = one[np.lexsort((s[one], g[one]))]
+        first = E.grouped(g[one])
+        last = np.append(first[1:], len(one)) - 1 if len(first) else first
+        low = s[one[first]]
+        anchor = {"key": g[one[first]], "anchor": np.full(len(first), 1, np.uint8), "a": low.view(np.int64), "b": (s[one[last]] - low).view(np.int64), "n": (last - first + 1).astype(np.uint32)}
+        out = {k: np.concatenate([segment.get(k, np.zeros(len(segment["key"]), np.uint32)), anchor[k]]) for k in anchor}
+        order = np.argsort(out["key"], kind="stable")
+        return {k: v[order] for k, v in out.items()}
 
     def settled(c):
-        order = np.lexsort((c["place"], c["doc"], c["s"], c["key"]))
+        of = c["anchor"] == 1
+        a, c = {k: v[of] for k, v in c.items()}, {k: v[~of] for k, v in c.items()}
+        order = np.lexsort((c["b"], c["a"], c["key"]))
         c = {k: v[order] for k, v in c.items()}
-        first = E.grouped(c["s"])
+        first = E.grouped(c["key"])
         run = E.run_of(first, len(order))
-        later = (c["doc"] != c["doc"][first][run]) | (c["place"] != c["place"][first][run])
-        group = E.grouped(c["key"])
-        kinds = np.add.reduceat(np.isin(np.arange(len(order)), first).astype(np.int64), group) if len(order) else group
-        kinds = kinds[E.run_of(group, len(order))]
-        # 1: a repeat; 0: to compare; 2: to compare window by window
-        said = np.where(later, 1, np.where(kinds > hot, 2, 0)).astype(np.uint8)
-        keep = later | (kinds > 1)
-        return {"chunk": c["chunk"][keep], "key": c["s"][keep], "later": said[keep]}
-
-    def chosen(s, doc, place, said, kind):
-        """Segments of this chunk that are the corpus's first of theirs and have that reply."""
-        if not said:
-            return np.empty(0, np.int64)
-        found, at = E.member(said["key"], s)
-        pick = np.flatnonzero(found & (said["later"][at] == kind))
-        return pick[_first_of(s[pick], doc[pick], place[pick])]
+        later = (c["a"] != c["a"][first][run]) | (c["b"] != c["b"][first][run])
+        first = E.grouped(a["key"])
+        run, low = E.run_of(first, len(a["key"])), a["a"].view(np.uint64)
+        if len(first):
+            one = np.minimum.reduceat(low, first) == np.maximum.reduceat(low + a["b"].view(np.uint64), first)
+            many = np.add.reduceat(a["n"].astype(np.int64), first) > hot
+            keep, said = ~one[run], np.where(many, MANY, COMPARE)[run]
+        else:
+            keep = said = np.empty(0, bool)
+        return {
+            "chunk": np.concatenate([c["chunk"][later], a["chunk"][keep]]), "key": np.concatenate([c["key"][later], a["key"][keep]]),
+            "later": np.concatenate([np.full(later.sum(), LATER, np.uint8), said[keep].astype(np.uint8)]),
+        }
+
+    def are(said, keys, kind):
+        """Which keys have that reply."""
+        return E.member(said["key"][said["later"] == kind], keys)[0] if said else np.zeros(len(keys), bool)
+
+    def chosen(g, s, doc, place, said, kind):
+        """Segments of this chunk that are the corpus's first of theirs and whose anchor has that reply."""
+        pick = np.flatnonzero(are(said, g, kind))
+        pick = pick[_first_of(s[pick], doc[pick], place[pick])]
+        return pick[~are(said, s[pick], LATER)]
 
     def open_segments(table, said):
         data, _, doc, _, g, own, s, lo, hi, place = _chunk_anchors(table, length)
         doc = doc[own]
-        pick = chosen(s, doc, place, said, 0)
+        pick = chosen(g, s, doc, place, said, COMPARE)
         size = hi[pick] - lo[pick]
         at = np.arange(width)
         body = np.concatenate([data, np.full(width, 255, np.uint8)])[lo[pick][:, None] + at] if len(pick) else np.empty((0, width), np.uint8)
         body = np.where(at < size[:, None], body, 255).astype(np.uint8)
-        many = chosen(s, doc, place, said, 2)
+        many = chosen(g, s, doc, place, said, MANY)
         key, of, start = _windows(data, lo[many], hi[many], doc[many], place[many], length)
         one = _first_of(key, of, start)
         # a window has size 0 and no bytes
@@ -237,15 +258,12 @@ def suffix_dedup(documents: DataFrame, length: int = 100, texts: bool = False, h
         return {"chunk": chunk, "key": doc.view(np.uint64), "start": start, "many": many.astype(np.int32)}
 
     def cut_out(table, settled_, spans):
-        data, offsets, doc, nth, _, own, s, lo, hi, place = _chunk_anchors(table, length)
+        data, offsets, doc, nth, g, own, s, lo, hi, place = _chunk_anchors(table, length)
         one = np.zeros(len(s), bool)
         one[_first_of(s, doc[own], place)] = True
-        gone = ~one
-        if settled_:
-            found, at = E.member(settled_["key"], s)
-            gone |= found & (settled_["later"][at] == 1)
+        gone = ~one | are(settled_, s, LATER)
         starts, ends = lo[gone], hi[gone]
-        many = chosen(s, doc[own], place, settled_, 2)
+        many = chosen(g, s, doc[own], place, settled_, MANY)
         if len(many):
             key, of, at = _windows(data, lo[many], hi[many], doc[own[many]], place[many], length)
             first = _first_of(key, of, at)  # in this chunk; the corpus may have an earlier one
