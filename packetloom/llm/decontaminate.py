@@ -6,13 +6,16 @@ blocks of two words says how far a cursor may jump, a bucket of the pattern's la
 selects patterns where it may not, and the words themselves are compared. Many cursors
 walk a batch of documents at once. Documents are not shuffled.
 
-The benchmark goes to the executors in blocks of at most ``block_bytes``; a larger
-benchmark becomes several passes over the same rows in one stage, so no row or item is
-left out and no worker holds more than a block.
+The benchmark goes to the executors in blocks of at most ``block_bytes`` of text, as files
+of their own. A worker gathers documents of some bytes, then loads one block after the other
+and searches what it has gathered, so no row or item is left out and no worker holds more
+than one block's tables.
 
 Rows: one for each input row, whatever its doc_id (repeated or null). Null texts have no
-words; empty items have no window. Items that share an item_id count once; a null item_id
-is the empty string. Extra columns stay out of the way.
+words; very long ones are searched like any other, in time linear in their words and hits;
+empty items have no window. Items that share an item_id count once; a null item_id is the
+empty string. No documents: no rows; no items: nothing is hit. Extra columns stay out of the
+way.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from packetloom.llm import _engine as E
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 LANE = 256
-_ITEM = "\x1f"
+#: Bytes of documents that a worker gathers for each walk through several blocks.
+GATHERED_BYTES = 16 << 20
 
 
 class WordSearch:
@@ -85,7 +89,7 @@ class WordSearch:
 def _hashes(pattern: tuple[bytes, ...]) -> np.ndarray:
     data = np.frombuffer(b"".join(pattern), np.uint8)
     ends = np.cumsum([len(w) for w in pattern])
-    return E.span_hash(E.prefix_hash(data), ends - [len(w) for w in pattern], ends)
+    return E.word_hash(data, ends - [len(w) for w in pattern], ends)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -108,96 +112,150 @@ def searches(items: list[tuple[str, str]], window: int = WINDOW) -> list[WordSea
     return [WordSearch([p for p, _ in x], [n for _, n in x]) for _, x in sorted(lengths.items())]
 
 
-def _pass(tables: list[WordSearch]):
-    """mapInArrow function that adds what one block of the benchmark finds."""
+def _found(table: WordSearch, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and pattern of the occurrences within one text, words compared byte by byte."""
+    first, which = table.occurrences(hashes)
+    if len(first):
+        text = E.owner(at)
+        inside = text[first] == text[first + table.length - 1]
+        first, which = first[inside], which[inside]
+    if not len(first):
+        return first, which
+    raw = part.tobytes()
+    sure = [all(raw[starts[i + j] : ends[i + j]] == w for j, w in enumerate(table.patterns[p])) for i, p in zip(first.tolist(), which.tolist())]
+    return first[sure], which[sure]
+
+
+class _Hits:
+    """What was found in some texts: words hit as disjoint spans, and items."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets, n = data, offsets, len(offsets) - 1
+        self.count = np.zeros(n, np.int64)
+        self.spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (text, from, to)
+        self.items: list[set[str]] = [set() for _ in range(n)]
+
+    def search(self, tables: list[WordSearch]) -> None:
+        for a, b in E.slices(self.offsets):
+            part = E.LOWER[self.data[self.offsets[a] : self.offsets[b]]]
+            starts, ends, at = E.words(part, self.offsets[a : b + 1] - self.offsets[a], E.NOT_ALNUM)
+            hashes, text = E.word_hash(part, starts, ends), E.owner(at)
+            self.count[a:b] = np.diff(at)
+            for table in tables:
+                first, which = _found(table, part, starts, ends, at, hashes)
+                if not len(first):
+                    continue
+                own = text[first]
+                self.spans.append((own + a, first - at[own], first - at[own] + table.length))
+                for row, p in set(zip(own.tolist(), which.tolist())):
+                    self.items[a + row].update(table.items[p])
+
+    def merged(self) -> pa.ListArray:
+        """Disjoint spans in order, by text: from, to, from, to ..."""
+        none = np.empty(0, np.int64)
+        text, a, b = (np.concatenate(x) for x in zip(*self.spans, (none, none, none)))
+        order = np.lexsort((a, text))
+        text, a, b = text[order], a[order], b[order]
+        if len(text):
+            # within a text, where a start lies beyond all ends before it; texts lie far apart
+            far = text * (int(b.max()) + 1)
+            reach = np.maximum.accumulate(far + b)
+            new = np.concatenate([[True], (far + a)[1:] > reach[:-1]])
+            last = np.append(np.flatnonzero(new)[1:], len(new)) - 1
+            a, b, text = a[new], (reach - far)[last], text[new]
+        many = 2 * np.bincount(text, minlength=len(self.items))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(np.stack([a, b], axis=1).reshape(-1)))
+
+
+def _once(held):
+    """A broadcast's value, of which this process keeps nothing."""
+    value = held.value
+    held.__dict__.pop("_value", None)
+    return value
+
+
+def _searched(batches, blocks: list):
+    """(batch, its _Hits) of all batches, one block's tables at a time."""
+    alone = blocks[0].value if len(blocks) == 1 else None
+    gathered: list[tuple[pa.RecordBatch, _Hits]] = []
+
+    def walked():
+        for held in blocks:
+            tables = _once(held) if alone is None else alone
+            for _, hits in gathered:
+                hits.search(tables)
+            del tables
+        yield from gathered
+
+    size = 0
+    for batch in batches:
+        data, offsets = E.text_bytes(batch.column("text"))
+        gathered.append((batch, _Hits(data, offsets)))
+        size += len(data)
+        if alone is not None or size >= GATHERED_BYTES:
+            yield from walked()
+            gathered, size = [], 0
+    yield from walked()
 
-    def scan(batches):
-        for batch in batches:
-            data, offsets = E.text_bytes(batch.column("text"))
-            hit = [np.frombuffer(x or b"", np.int64).reshape(-1, 2) for x in batch.column("hit_spans").to_pylist()]
-            names = [set(x.split(_ITEM)) if x is not None else set() for x in batch.column("hit_items").to_pylist()]
-            count = []
-            for a, b in E.slices(offsets):
-                part = E.LOWER[data[offsets[a] : offsets[b]]]
-                starts, ends, at = E.words(part, offsets[a : b + 1] - offsets[a], E.NOT_ALNUM)
-                hashes = E.span_hash(E.prefix_hash(part), starts, ends)
-                text = E.owner(at)
-                count += np.diff(at).tolist()
-                for table in tables:
-                    first, which = table.occurrences(hashes)
-                    inside = text[first] == text[first + table.length - 1] if len(first) else np.empty(0, bool)
-                    for i, p in zip(first[inside].tolist(), which[inside].tolist()):
-                        if all(part[starts[i + j] : ends[i + j]].tobytes() == w for j, w in enumerate(table.patterns[p])):
-                            row = int(text[i])
-                            hit[a + row] = np.append(hit[a + row], [[i - at[row], i - at[row] + table.length]], axis=0)
-                            names[a + row].update(table.items[p])
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("text"), pa.array(count, pa.int64()),
-                pa.array([_merged(x).tobytes() for x in hit], pa.binary()),
-                pa.array([_ITEM.join(sorted(x)) if x else None for x in names], pa.string()),
-            ], ["doc_id", "text", "n_words", "hit_spans", "hit_items"])
 
-    return scan
+def _blocks(documents: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    """Broadcast tables of each block of the benchmark."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
+    n = max(1, -(-total // block_bytes))
+    out = []
+    for i in range(n):
+        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
+        out.append(documents.sparkSession.sparkContext.broadcast(searches([tuple(r) for r in block.collect()], window)))
+    return out
 
 
-def _merged(spans: np.ndarray) -> np.ndarray:
-    """Spans of words, disjoint and in order."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans.tolist()):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return np.array(out, np.int64).reshape(-1, 2)
+FOUND = "doc_id long, n_words long, hit_spans array<long>, hit_items array<string>"
 
 
-def _digest(batches):
-    for batch in batches:
-        hits = [int(np.diff(np.frombuffer(x, np.int64).reshape(-1, 2), axis=1).sum()) for x in batch.column("hit_spans").to_pylist()]
-        names = [x.split(_ITEM) if x is not None else [] for x in batch.column("hit_items").to_pylist()]
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
-            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array([h > 0 for h in hits], pa.bool_()),
-        ], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+def find_benchmark(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, hit_spans (disjoint, in order: word from, to, from, to ...) and
+    hit_items (sorted) of each document."""
+    blocks = _blocks(documents, benchmark, window, block_bytes)
 
+    def scan(batches):
+        for batch, hits in _searched(batches, blocks):
+            names = pa.array([sorted(x) for x in hits.items], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hits.count), hits.merged(), names], ["doc_id", "n_words", "hit_spans", "hit_items"])
 
-def find_benchmark(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """documents (doc_id, text) with n_words, hit_spans (pairs of int64: word from, to) and
-    hit_items (joined by \\x1f, null: none)."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit_spans"), F.lit(None).cast("string").alias("hit_items"))
-    for i in range(blocks):
-        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        tables = searches([tuple(r) for r in block.collect()], window)
-        held = documents.sparkSession.sparkContext.broadcast(tables)
-        out = out.mapInArrow(lambda batches, held=held: _pass(held.value)(batches), "doc_id long, text string, n_words long, hit_spans binary, hit_items string")
-    return out
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, FOUND)
+
+
+def _digest(found: DataFrame) -> DataFrame:
+    """n_hit and the items' digest of what find_benchmark gives."""
+
+    def scan(batches):
+        for batch in batches:
+            spans = batch.column("hit_spans")
+            flat, cut = spans.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum([len(x) for x in spans])]) // 2
+            sums = np.concatenate([[0], np.cumsum(flat[1::2] - flat[::2])])
+            hit = sums[cut[1:]] - sums[cut[:-1]]
+            names = batch.column("hit_items").to_pylist()
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
+                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array(hit > 0),
+            ], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
+    return found.mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
-    found = find_benchmark(documents, benchmark, window)
-    return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return _digest(find_benchmark(documents, benchmark, window, block_bytes))
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """documents, all columns, without rows that hold a window of the benchmark."""
-    columns = documents.columns
-    carried = documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
-    items = benchmark.select("item_id", "text")
+    blocks = _blocks(documents, benchmark, window, block_bytes)
+    carried = documents.select("text", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
 
-    def keep(batches, held):
-        for batch in batches:
-            seen = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([None] * len(batch), pa.binary()), pa.array([None] * len(batch), pa.string())], ["doc_id", "text", "hit_spans", "hit_items"])
-            for out in _pass(held.value)([seen]):
-                yield batch.filter(pa.array([not len(x) for x in out.column("hit_spans").to_pylist()], pa.bool_()))
-
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    for i in range(blocks):
-        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        held = documents.sparkSession.sparkContext.broadcast(searches([(str(r[0]), r[1]) for r in block.collect()], window))
-        carried = carried.mapInArrow(lambda batches, held=held: keep(batches, held), carried.schema)
-    return carried.select("_row.*")
+    def keep(batches):
+        for batch, hits in _searched(batches, blocks):
+            yield batch.filter(pa.array([not x for x in hits.items], pa.bool_()))
+
+    return carried.mapInArrow(keep, carried.schema).select("_row.*")
