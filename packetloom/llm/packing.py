@@ -10,9 +10,13 @@ list of (filling, times) however many documents there are. Pieces then find thei
 length and rank among the pieces of that length; ranks come from counts by task, without
 bringing a length together.
 
+The search is bounded: it stops at the floor (all tokens / capacity), and else after so many
+branches (``complete``) over so many fillings of a bin (``fillings``); the best packing found
+until then stands, which is never worse than best fit's. Pieces are never left out.
+
 Rows: one for each piece. Null and empty texts are one piece that holds the end id only.
-Repeated rows and doc_ids are packed each by itself. No documents: no rows. Extra columns
-are ignored.
+Very long texts are cut into pieces of the capacity. Repeated rows and doc_ids are packed
+each by itself. No documents: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +24,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import sys
 import zlib
 from bisect import bisect_right
 from collections import ChainMap, Counter, defaultdict
@@ -95,6 +98,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("added tokens that depend on what is around them")
+        self.added = {t.content.encode(): np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.cut = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or b"(?!)")
+        # texts are cut at added tokens first; what lower case makes look like one is none
         self.tokenizer.encode_special_tokens = True
         self.merges = self.tokenizer.model
         self.letters = _byte_letters()
@@ -114,8 +123,29 @@ class Encoder:
             out[w] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Of texts end to end."""
+        raw = data.tobytes()
+        if not self.cut.search(raw):
+            return self._plain(data, offsets)
+        # the pieces between added tokens are texts of their own
+        owner, starts, ends, tokens = [], [], [], []
+        for row, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+            at = a
+            for m in self.cut.finditer(raw, a, b):
+                owner.append(row), starts.append(at), ends.append(m.start()), tokens.append(self.added[m[0]])
+                at = m.end()
+            owner.append(row), starts.append(at), ends.append(b), tokens.append(b"")
+        kept = np.concatenate([data[a:b] for a, b in zip(starts, ends)])
+        found = self._plain(kept, np.concatenate([[0], np.cumsum(np.array(ends) - np.array(starts))]))
+        out: list[list[bytes]] = [[] for _ in range(len(offsets) - 1)]
+        for row, ids, token in zip(owner, found, tokens):
+            out[row] += [ids, token]
+        return [b"".join(x) for x in out]
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        raw, at = spaced(data, offsets)
+        split = [raw[i:j].split() for i, j in zip(at, at[1:])]
         known = self.known
         found = self.words(list(set().union(*split).difference(known)))
         long = {w: ids for w, ids in found.items() if len(w) > WORD_BYTES}
@@ -145,9 +175,8 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
         for batch in batches:
             data, offsets = E.text_bytes(batch.column("text"))
             for a, b in E.slices(offsets):
-                raw, at = spaced(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 rows: list[list] = [[] for _ in range(7 + ids)]
-                for row, tokens in enumerate(encode([raw[i:j] for i, j in zip(at, at[1:])])):
+                for row, tokens in enumerate(encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])):
                     tokens += end
                     for n, start in enumerate(range(0, len(tokens), 4 * capacity)):
                         own = tokens[start : start + 4 * capacity]
@@ -343,5 +372,3 @@ def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids + ", sequence_id long, offset long"
     return ranked.mapInArrow(put, schema)
 
-
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
