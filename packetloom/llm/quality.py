@@ -6,11 +6,12 @@ labelled rows sums its part of the normal equations; the sums fit ridge scores o
 driver. Labelled rows kept from the fit give the isotonic calibration, fitted to counts in
 ``BINS`` bins of the raw score.
 
-The fit uses at most about ``max_train`` labelled rows, chosen by a hash of doc_id; the
-scores cover every document. labels, lang, source and doc_id are no inputs of a score.
+The fit uses at most about ``MAX_TRAIN`` labelled rows, chosen by a hash of doc_id; only their
+texts are read for it. The scores cover every document. labels, lang, source and doc_id are
+no inputs of a score.
 
 Rows: one for each input row. Null and empty texts have all statistics zero and are scored
-like any other. Labels that are null or whose doc_id is null or absent from the documents
+like any other, very long ones whole. No documents: no rows. Labels that are null or whose doc_id is null or absent from the documents
 do not count; repeated labels each count. Without any labelled rows the score is 0.5.
 Extra columns stay out of the way.
 """
@@ -48,7 +49,7 @@ def statistics_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         starts, ends, at = E.words(part, cut, E.WHITE)
         count, length = np.diff(at), ends - starts
         own = E.owner(at)
-        hashes = E.span_hash(E.prefix_hash(part), starts, ends)
+        hashes = E.word_hash(part, starts, ends)
         order = np.lexsort((hashes, own))
         first = np.ones(len(order), bool)
         first[1:] = (hashes[order][1:] != hashes[order][:-1]) | (own[order][1:] != own[order][:-1])
@@ -140,10 +141,7 @@ def fit(labelled: DataFrame, seed: int = 7) -> Model:
     """A model from rows (doc_id, x, y)."""
     rows = labelled.select("doc_id", "x", "y")
     unit = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
-    n = rows.count()
-    if n > MAX_TRAIN:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < int(1e6 * MAX_TRAIN / n))
-    rows = E.stored(rows.withColumn("fold", (unit < 250_000).cast("int")).repartition(PARTS, "doc_id"), "labelled")
+    rows = E.stored(rows.withColumn("fold", (unit < 250_000).cast("int")).repartition(PARTS, "doc_id", "x"), "labelled")
     train, held = (rows.filter(F.col("fold") == k).coalesce(PARTS) for k in (0, 1))
     d = STATISTICS
     sums = _summed(train, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 1 + 2 * d)
@@ -181,40 +179,44 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def labelled_rows(x: DataFrame, labels: DataFrame) -> DataFrame:
-    return x.join(labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")), "doc_id")
-
-
-def scored(x: DataFrame, model: Model, kept: list[str] | None = None) -> DataFrame:
-    """x (doc_id, x, ...) with its score."""
-    kept = kept or ["doc_id"]
-    held = x.sparkSession.sparkContext.broadcast(model)
+def labelled_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, x, y): statistics of the documents that are fitted. The labels are sampled
+    first, to about MAX_TRAIN rows, so they can be broadcast whatever the corpus."""
+    known = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
+    known = known.filter(~held_out())
+    n = known.count()
+    if n > MAX_TRAIN:
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < int(1e6 * MAX_TRAIN / n))
+    known = known.groupBy("doc_id").agg(F.collect_list("y").alias("ys"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    return statistics(texts).join(F.broadcast(known), "doc_id").select("doc_id", "x", F.explode("ys").alias("y"))
 
-    def scan(batches):
-        for batch in batches:
-            s = held.value.score(_matrix(batch.column("x"))) if len(batch) else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s)], [*kept, "score"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.select(*kept).schema)
-    return x.mapInArrow(scan, f"{fields}, score double")
+def _scoring(documents: DataFrame, labels: DataFrame):
+    """batch -> scores, by a model that is fitted now."""
+    held = documents.sparkSession.sparkContext.broadcast(fit(labelled_rows(documents, labels)))
+    return lambda batch: held.value.score(statistics_of(*E.text_bytes(batch.column("text"))))
 
 
 def quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted; fitted to the labelled rows that are not held out."""
-    x = E.stored(statistics(documents), "statistics")
-    model = fit(labelled_rows(x.filter(~held_out()), labels))
-    return scored(x, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    score = _scoring(documents, labels)
+
+    def scan(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(batch))], ["doc_id", "score"])
+
+    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, score double")
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """documents, all columns, without those that score below the threshold."""
-    x = E.stored(statistics(documents), "statistics")
-    held = documents.sparkSession.sparkContext.broadcast(fit(labelled_rows(x.filter(~held_out()), labels)))
+    score = _scoring(documents, labels)
 
     def keep(batches):
         for batch in batches:
             if len(batch):
-                s = held.value.score(statistics_of(*E.text_bytes(batch.column("text"))))
-                yield batch.filter(pa.array(s >= threshold))
+                yield batch.filter(pa.array(score(batch) >= threshold))
 
     return documents.mapInArrow(keep, documents.schema)
