@@ -2,17 +2,16 @@
 
 Fingerprints are the bitwise majority of the hashes of all word shingles. Equal
 fingerprints become one before any are compared. Those within ``bits`` of each other agree
-on two of four 16-bit blocks at least, so a fingerprint is dealt to its six pairs of
-blocks; a pair of blocks that very many fingerprints share is dealt on by thirds of the
-other 32 bits, one of which must agree too. Within a bucket a table of Hamming distances to
-many reference fingerprints (pivots) discards a pair as soon as two coordinates differ by
-more than ``bits``; the rest are verified. A bucket passes on a forest of its links, never
-all pairs.
+on two of four 16-bit blocks at least, and on one third of the other 32 bits, so each is
+dealt to its 18 pairs of blocks with a third. Within a bucket a table of Hamming distances
+to many reference fingerprints (pivots) discards a pair as soon as two coordinates differ by
+more than ``bits``; the rest are verified, but for pairs that earlier links have joined. A
+bucket passes on a forest of its links, and holds no more than that, never all pairs.
 
 Rows: one for each input row. Null and empty texts have fingerprint zero and are linked
-like any other; ties and repeated rows share a fingerprint and so a component. A null
-doc_id gets a component but never names one (null if nothing else is in it). Extra columns
-are ignored.
+like any other; ties and repeated rows share a fingerprint and so a component; very long
+texts are hashed whole. A null doc_id gets a component but never names one (null if nothing
+else is in it). No documents: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,39 +23,54 @@ from pyspark.sql import functions as F
 
 from packetloom.llm import _engine as E
 from packetloom.llm._graph import components
+from packetloom.llm._xxh64 import xxh64
 
-#: A bucket of more fingerprints is dealt on by further bits.
-HOT_BUCKET = 4096
 PIVOTS = E.mixed(np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: Each bit of a byte in a byte of its own.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
+
+
+def _ones(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """How many hashes of each run have each of 64 bits; runs end where the next begins."""
+    size = np.diff(np.append(begins, len(h)))
+    parts = -(-size // 255)  # so many hashes fit a sum of bytes
+    at = np.cumsum(parts) - parts
+    sub = np.repeat(begins, parts) + (np.arange(parts.sum()) - np.repeat(at, parts)) * 255
+    octets, out = h.view(np.uint8).reshape(-1, 8), np.empty((len(begins), 64), np.int64)
+    for k in range(8):
+        sums = np.add.reduceat(_SPREAD[octets[:, k]], sub)
+        out[:, 8 * k : 8 * k + 8] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), at, axis=0, dtype=np.int64)
+    return out
+
+
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, size: int = 3) -> np.ndarray:
     """The fingerprint of each text (bytes end to end)."""
-    from xxhash import xxh64_intdigest
-
     out = np.zeros(len(offsets) - 1, np.uint64)
     for a, b in E.slices(offsets):
-        part = E.LOWER[data[offsets[a] : offsets[b]]]
-        cut = (offsets[a : b + 1] - offsets[a]).tolist()
-        raw = part.tobytes()
-        starts, ends, at = E.words(part, np.array(cut), E.WHITE)
+        part, cut = E.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
+        starts, ends, at = E.words(part, cut, E.WHITE)
+        if not len(starts):
+            continue
         length = ends - starts
-        joined = b" ".join([x for x in (b" ".join(raw[i:j].split()) for i, j in zip(cut, cut[1:])) if x])
-        begin = np.cumsum(length + 1) - length - 1
+        # words with one space behind each; shingles are spans of that
+        keep = ~E.WHITE[part]
+        gap = np.cumsum(length + 1) - 1
+        joined = np.full(gap[-1] + 1, 32, np.uint8)
+        inside = np.ones(len(joined), bool)
+        inside[gap] = False
+        joined[inside] = part[keep]
+        begin = gap - length
         count = np.diff(at)
         shingles = np.where(count >= size, count - size + 1, np.minimum(count, 1))
         text = np.repeat(np.arange(b - a), shingles)
         first = at[text] + np.arange(len(text)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
         last = np.minimum(first + size, at[text + 1]) - 1
-        lo, hi = begin[first].tolist(), (begin[last] + length[last]).tolist()
-        h = np.fromiter((xxh64_intdigest(joined[i:j], 42) for i, j in zip(lo, hi)), np.uint64, len(lo))
+        h = xxh64(joined, begin[first], gap[last], 42)
         some = np.flatnonzero(shingles)
-        if len(some):
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            begins = (np.cumsum(shingles) - shingles)[some]
-            ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
-            major = ones * 2 > shingles[some][:, None]
-            out[a + some] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+        major = _ones(h, (np.cumsum(shingles) - shingles)[some]) * 2 > shingles[some][:, None]
+        out[a + some] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).reshape(-1)
     return out
 
 
@@ -91,31 +105,29 @@ def linked(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
     run = E.run_of(E.grouped(key), len(key))
     order = np.lexsort((table[:, 0], run))
     fp, table, run = fp[order], table[order], run[order]
-    left, right, step = [], [], 1
-    alive = np.arange(len(fp))
+    tree = np.arange(len(fp))  # the least index that links so far reach
+    step, alive = 1, np.arange(len(fp))
     while len(alive):
         alive = alive[alive + step < len(fp)]
         other = alive + step
         # sorted by the first coordinate: once it is too far, all later ones are
         near = (run[alive] == run[other]) & (table[other, 0] - table[alive, 0] <= bits)
-        alive, other = alive[near], other[near]
-        keep, far = alive, other
+        alive = alive[near]
+        keep, far = alive, other[near]
+        apart = tree[keep] != tree[far]
+        keep, far = keep[apart], far[apart]
         for k in range(1, table.shape[1]):
             if not len(keep):
                 break
             ok = np.abs(table[keep, k] - table[far, k]) <= bits
             keep, far = keep[ok], far[ok]
         ok = np.bitwise_count(fp[keep] ^ fp[far]) <= bits
-        left.append(keep[ok])
-        right.append(far[ok])
+        if ok.any():
+            below = np.flatnonzero(tree != np.arange(len(tree)))
+            tree = _forest(len(fp), np.concatenate([below, keep[ok]]), np.concatenate([tree[below], far[ok]]))
         step += 1
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-    if not len(a):
-        return fp[:0], fp[:0]
-    some, index = np.unique(np.concatenate([a, b]), return_inverse=True)
-    label = _forest(len(some), index[: len(a)], index[len(a) :])
-    tree = np.flatnonzero(label != np.arange(len(some)))
-    return fp[some[tree]], fp[some[label[tree]]]
+    below = np.flatnonzero(tree != np.arange(len(tree)))
+    return fp[below], fp[tree[below]]
 
 
 def _links(bits: int):
@@ -142,28 +154,45 @@ def _links(bits: int):
     return scan
 
 
-def links(distinct: DataFrame, bits: int = 2, hot: int = HOT_BUCKET) -> DataFrame:
+def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
     """(u, v): a forest of the links among distinct fingerprints (column fp); spans the same
     components as all links."""
     if bits > 2:
         raise ValueError("blocks are chosen for at most two differing bits")
     block = [F.shiftright("fp", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-
-    def others(i, j):
+    keys = []
+    for n, (i, j) in enumerate((i, j) for i in range(4) for j in range(i + 1, 4)):
         a, b = (k for k in range(4) if k not in (i, j))
         rest = F.shiftleft(block[a], 16).bitwiseOR(block[b])
-        thirds = [rest.bitwiseAND(0x7FF), F.shiftright(rest, 11).bitwiseAND(0x7FF), F.shiftright(rest, 22).bitwiseAND(0x3FF)]
-        return F.array(*[F.shiftleft(F.lit(t + 1).cast("long"), 11).bitwiseOR(x) for t, x in enumerate(thirds)])
-
-    dealt = distinct.select("fp", F.explode(F.array(*[F.struct(F.shiftleft(F.lit(n + 1).cast("long"), 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]).alias("key"), others(i, j).alias("on")) for n, (i, j) in enumerate(pairs)])).alias("d")).select("fp", "d.key", "d.on")
-    large = dealt.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("large"))
-    dealt = dealt.join(large, "key", "left")
-    dealt = dealt.select("fp", F.explode(F.when(F.col("large"), F.transform("on", lambda x: F.shiftleft(F.col("key"), 14).bitwiseOR(x))).otherwise(F.array(F.shiftleft(F.col("key"), 14)))).alias("key"))
+        for t, third in enumerate((rest.bitwiseAND(0x7FF), F.shiftright(rest, 11).bitwiseAND(0x7FF), F.shiftright(rest, 22).bitwiseAND(0x3FF))):
+            both = F.shiftleft(block[i], 16).bitwiseOR(block[j])
+            keys.append(F.shiftleft(F.lit(3 * n + t).cast("long"), 43).bitwiseOR(F.shiftleft(both, 11)).bitwiseOR(third))
+    dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     n = E.partitions(distinct.sparkSession)
     return dealt.repartition(n, "key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_links(bits), "u long, v long")
 
 
+def near(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
+    """Which pairs of fingerprints are within ``bits``: those whose distances to any pivot
+    differ by more are discarded, the rest are verified."""
+    keep = np.arange(len(x))
+    for pivot in PIVOTS:
+        keep = keep[np.abs(np.bitwise_count(x[keep] ^ pivot).astype(np.int8) - np.bitwise_count(y[keep] ^ pivot).astype(np.int8)) <= bits]
+    out = np.zeros(len(x), bool)
+    out[keep] = np.bitwise_count(x[keep] ^ y[keep]) <= bits
+    return out
+
+
+def of_sets(keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The fingerprint of each set of hashes (sets end to end); of none: zero."""
+    n = np.diff(offsets)
+    out, some = np.zeros(len(n), np.uint64), np.flatnonzero(n)
+    if len(some):
+        major = _ones(keys, offsets[some]) * 2 > n[some][:, None]
+        out[some] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+    return out
+
+
 def near_duplicates(documents: DataFrame, size: int = 3, bits: int = 2) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (smallest doc_id reachable over links)."""
     found = E.stored(fingerprints(documents, size), "simhash")

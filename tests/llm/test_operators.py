@@ -48,14 +48,28 @@ def test_benchmark(documents, texts, spark, none):
     table = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(brute.benchmark(texts, items))
     assert rows(decontaminate.decontaminate(documents, table)) == want
-    found = decontaminate.find_benchmark(documents, table, block_bytes=200).mapInArrow(decontaminate._digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    assert rows(found) == want  # a benchmark of many blocks
-    clean = decontaminate.clean(documents, table)
-    assert clean.columns == documents.columns
-    assert sorted(r[0] for r in clean.collect()) == sorted(w[0] for w in want if not w[5])
+    assert rows(decontaminate.decontaminate(documents, table, block_bytes=200)) == want  # a benchmark of many blocks
+    for block_bytes in (1 << 20, 200):
+        clean = decontaminate.clean(documents, table, block_bytes=block_bytes)
+        assert clean.columns == documents.columns
+        assert sorted(r[0] for r in clean.collect()) == sorted(w[0] for w in want if not w[5])
     assert rows(decontaminate.decontaminate(none, table)) == [] and not any(r[5] for r in rows(decontaminate.decontaminate(documents, table.limit(0))))
 
 
+def test_benchmark_ids_and_long_texts(spark):
+    """An id that holds a separator is one item; a word hit very often takes linear time."""
+    import time
+
+    table = spark.createDataFrame([("a\x1fb", "x"), ("c,d", "y z")], "item_id string, text string")
+    docs = [(1, "x " * 200_000), (2, "y z " * 3), (3, "w")]
+    began = time.perf_counter()
+    got = rows(decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), table))
+    assert time.perf_counter() - began < 60
+    assert got == sorted(brute.benchmark(docs, [("a\x1fb", "x"), ("c,d", "y z")]))
+    spans = {r["doc_id"]: r["hit_spans"] for r in decontaminate.find_benchmark(spark.createDataFrame([*docs, (4, "q y z q q x x q")], "doc_id long, text string"), table).collect()}
+    assert spans == {1: [0, 200_000], 2: [0, 6], 3: [], 4: [1, 3, 5, 7]}
+
+
 def test_simhash(documents, texts, none):
     want = sorted(brute.simhash(texts))
     assert rows(simhash.near_duplicates(documents)) == want
@@ -66,15 +80,15 @@ def test_simhash(documents, texts, none):
 
 
 def test_simhash_links(spark):
-    """Random clouds of fingerprints, with a limit so low that buckets are dealt on."""
+    """Random clouds of fingerprints."""
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 6, dtype=np.uint64)
     cloud = {int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 64, (60, 2))}
     a = np.array(sorted(cloud), np.uint64)
     df = spark.createDataFrame([(int(x),) for x in a.view(np.int64)], "fp long")
-    for hot in (4096, 3):
-        got = {frozenset(m) for m in _groups(a.view(np.int64).tolist(), [tuple(r) for r in simhash.links(df, 2, hot).collect()])}
-        pairs = [(int(a.view(np.int64)[i]), int(a.view(np.int64)[j])) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= 2)]
+    for bits in (2, 1, 0):
+        got = {frozenset(m) for m in _groups(a.view(np.int64).tolist(), [tuple(r) for r in simhash.links(df, bits).collect()])}
+        pairs = [(int(a.view(np.int64)[i]), int(a.view(np.int64)[j])) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= bits)]
         assert got == {frozenset(m) for m in _groups(a.view(np.int64).tolist(), pairs)}
 
 
@@ -238,20 +252,28 @@ def test_bin_completion(seed):
 
 
 def test_completion_beats_best_fit():
+    for counts, capacity in (({3: 3, 4: 1, 2: 1, 5: 1}, 10), ({13: 1, 9: 1, 6: 1, 11: 1, 14: 1, 5: 1}, 30)):
+        assert sum(n for _, n in packing.best_fit(counts, capacity)) == 3
+        done = packing.complete(dict(counts), capacity)
+        assert sum(n for _, n in done) == 2 and all(sum(s * k for s, k in f) <= capacity for f, _ in done)
     counts = {6: 2, 4: 2, 3: 4, 2: 2}  # best fit takes 6+4 twice, then 3+3+3 and 3+2+2
     assert sum(n for _, n in packing.complete({51: 2, 27: 2, 26: 2, 23: 2, 24: 2, 25: 2}, 100)) <= sum(n for _, n in packing.best_fit({51: 2, 27: 2, 26: 2, 23: 2, 24: 2, 25: 2}, 100))
     assert sum(n for _, n in packing.complete(counts, 10)) == 4
 
 
 def test_words_are_encoded_alike():
-    encode = packing.encoder(packing.vocabulary())
-    from packetloom.llm import _engine as E
     import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from packetloom.llm import _engine as E
 
-    odd = ["it's", "'some", "don't!!", "Ünï.", "ΑΣ", "İstanbul x.y.", "'ll.", "n°5,", "café...", "5a.", "!!", "a!?", "<|endoftext|>.", "ﬁne", "ßa.", "a|", "A.'s", "a.b'", "½a a².", "éa.", "", "Å."]
-    raw, at = packing.spaced(*E.text_bytes(pa.array(odd)))
-    got = encode([raw[i:j] for i, j in zip(at, at[1:])])
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in encode.tokenizer.encode_batch(odd, add_special_tokens=False)]
+    encode, fresh = packing.encoder(packing.vocabulary()), Tokenizer.from_file(packing.vocabulary())
+    odd = ["it's", "'some", "don't!!", "Ünï.", "ΑΣ", "İstanbul x.y.", "'ll.", "n°5,", "café...", "5a.", "!!", "a!?", "<|endoftext|>.", "ﬁne", "ßa.", "a|", "A.'s", "a.b'", "½a a².", "éa.", "", "Å."]
+    odd += ["hello<|endoftext|>", "<|startoftext|><|endoftext|>", "a <|ENDOFTEXT|> b", "x<|endoftext|>'s it's<|startoftext|>y", "<|endoftext|", "<|<|endoftext|>|>", " <|endoftext|> Word. <|endoftext|>\n", "<|EndOfText|><|endoftext|>a."]
+    for texts in (odd, [x for x in odd if "|>" not in x], odd[-1:]):
+        got = encode(*E.text_bytes(pa.array(texts)))
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert np.frombuffer(encode(*E.text_bytes(pa.array(["hello<|endoftext|>"])))[0], "<u4").tolist() == [3306, 49407]
 
 
 def test_chat(spark):
