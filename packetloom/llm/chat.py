@@ -15,7 +15,9 @@ every text is read back exactly. The loss mask covers the text of assistant turn
 
 Rows in: (conv_id, turn, role, text). Null role or text: empty. Turns are ordered by turn,
 ties by role and text, null turns first. A null conv_id is a conversation like any other.
-Repeated rows are turns of their own. Extra columns are ignored. No rows: no output.
+Repeated rows are turns of their own. Very long texts are formatted whole; a sequence ends
+behind the turn that reaches ``FLUSH_TOKENS``, and the next one begins with the ancestors of
+its first conversation again. Extra columns are ignored. No rows: no output.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,9 +133,11 @@ def emit(conversations: DataFrame, path: str | None = None) -> DataFrame:
         from pyspark import TaskContext
 
         encoding, part, tree, size, number = _encoding(path), TaskContext.get().partitionId(), 0, 0, 0
+        heads: dict[str, list[int]] = {}  # tokens of a role's start, of few roles
+        tail = encoding.encode_ordinary(f"{END}\n")
         stack: list[tuple] = []  # (prefix, node, begin, end, next position)
         for batch in batches:
-            rows: list[tuple] = []
+            rows = _Rows()
             for cls, turns, prefixes in zip(*(batch.column(c).to_pylist() for c in ("class", "turns", "path"))):
                 if size >= FLUSH_TOKENS:  # a new sequence; its first ancestors are emitted anew
                     tree, size, number, stack = tree + 1, 0, 0, []
@@ -142,42 +147,70 @@ def emit(conversations: DataFrame, path: str | None = None) -> DataFrame:
                 del stack[same:]
                 key = part * (1 << 32) + tree
                 for turn, prefix in zip(turns[same:], prefixes[same:]):
-                    tokens, loss = [], []
-                    for s, counts in parts_of(turn["r"], turn["x"]):
-                        ids = encoding.encode_ordinary(s)
-                        tokens += ids
-                        loss += [counts] * len(ids)
+                    role = turn["r"]
+                    if role not in heads:
+                        if len(heads) > 1000:
+                            heads.clear()
+                        heads[role] = encoding.encode_ordinary(f"{START}{escape_role(role)}\n")
+                    text = encoding.encode_ordinary(escape(turn["x"]))
+                    tokens = [*heads[role], *text, *tail]
                     parent, position = (stack[-1][1], stack[-1][4]) if stack else (-1, 0)
                     stack.append((prefix, number, size, size + len(tokens), position + len(tokens)))
-                    spans = [{"a": s[2], "b": s[3]} for s in stack]
-                    rows.append((None, key, number, parent, False, tokens, loss, list(range(position, position + len(tokens))), _joined(spans), size))
+                    said = len(text) if role == "assistant" else 0
+                    rows.add(None, key, number, parent, tokens, len(heads[role]), said, position, _joined(stack), size)
                     size += len(tokens)
                     number += 1
-                rows.append((cls, key, stack[-1][1] if stack else -1, -1, True, [], [], [], _joined([{"a": s[2], "b": s[3]} for s in stack]), size))
-                if len(rows) >= 256:
-                    yield _rows(rows)
-                    rows = []
-            yield _rows(rows)
+                rows.add(cls, key, stack[-1][1] if stack else -1, -1, [], 0, 0, 0, _joined(stack), size)
+            yield rows.batch()
 
     return ordered.mapInArrow(walk, _TREE)
 
 
-def _joined(spans: list[dict]) -> list[dict]:
-    """Intervals, neighbours as one."""
-    out: list[dict] = []
-    for s in spans:
-        if out and out[-1]["b"] == s["a"]:
-            out[-1] = {"a": out[-1]["a"], "b": s["b"]}
+def _joined(stack: list[tuple]) -> list[int]:
+    """Intervals of the turns on a stack as begin, end, begin, end ...; neighbours as one."""
+    out: list[int] = []
+    for _, _, begin, end, _ in stack:
+        if out and out[-1] == begin:
+            out[-1] = end
         else:
-            out.append(s)
+            out += (begin, end)
     return out
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    types = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32()), span, pa.int32()]
-    names = ["class", "tree", "node", "parent", "leaf", "tokens", "loss", "positions", "attends", "at"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+class _Rows:
+    """Rows of a tree, numbers end to end."""
+
+    def __init__(self):
+        self.cls, self.number, self.tokens, self.spans = [], [], [], []  # number: tree, node, parent, tokens, before the loss, in it, position, half spans, at
+
+    def add(self, cls, tree, node, parent, tokens, before, said, position, spans, at):
+        self.cls.append(cls)
+        self.number.append((tree, node, parent, len(tokens), before, said, position, len(spans) // 2, at))
+        self.tokens += tokens
+        self.spans += spans
+
+    def batch(self) -> pa.RecordBatch:
+        tree, node, parent, n, before, said, position, spans, at = np.array(self.number, np.int64).reshape(-1, 9).T.copy()
+        first = np.cumsum(n) - n
+        inside = np.arange(n.sum()) - np.repeat(first, n)
+        begin, end = np.repeat(before, n), np.repeat(before + said, n)
+        cut = lambda m: pa.array(np.concatenate([[0], np.cumsum(m)]).astype(np.int32))
+        by_token = lambda x, t: pa.ListArray.from_arrays(cut(n), pa.array(x).cast(t))
+        both = np.array(self.spans, np.int32).reshape(-1, 2)
+        pair = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        arrays = [
+            pa.array(self.cls, pa.binary()), pa.array(tree), *(pa.array(x.astype(np.int32)) for x in (node, parent)), pa.array([c is not None for c in self.cls], pa.bool_()),
+            by_token(np.array(self.tokens, np.int32), pa.int32()), by_token((inside >= begin) & (inside < end), pa.bool_()), by_token((inside + np.repeat(position, n)).astype(np.int32), pa.int32()),
+            pa.ListArray.from_arrays(cut(spans), pair), pa.array(at.astype(np.int32)),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, ["class", "tree", "node", "parent", "leaf", "tokens", "loss", "positions", "attends", "at"])
+
+
+def _flat(column) -> tuple[np.ndarray, list[int]]:
+    """Numbers of a list column end to end, and n + 1 offsets."""
+    values = column.flatten()
+    size = np.array([0, *pc.fill_null(pc.list_value_length(column), 0).to_pylist()], np.int64)
+    return values.to_numpy(zero_copy_only=False), np.cumsum(size).tolist()
 
 
 def read_back(tree: DataFrame, path: str | None = None) -> DataFrame:
@@ -187,26 +220,35 @@ def read_back(tree: DataFrame, path: str | None = None) -> DataFrame:
 
     def scan(batches):
         encoding, key = _encoding(path), None
+        width = np.array([len(encoding.decode_single_token_bytes(t)) for t in range(encoding.n_vocab)])
         tokens, loss = np.empty(0, np.int32), np.empty(0, bool)
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.to_pylist():
-                if row["tree"] != key:
-                    key, tokens, loss = row["tree"], np.empty(1024, np.int32), np.empty(1024, bool)
-                if not row["leaf"]:
-                    end = row["at"] + len(row["tokens"])
+            (ids_, cut), (loss_, _) = _flat(batch.column("tokens")), _flat(batch.column("loss"))
+            attends = batch.column("attends")
+            spans = attends.flatten()
+            begins, ends = (spans.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            many = np.cumsum([0, *pc.fill_null(pc.list_value_length(attends), 0).to_pylist()]).tolist()
+            for i, (cls, tree_, leaf, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("class", "tree", "leaf", "at")))):
+                if tree_ != key:
+                    key, tokens, loss = tree_, np.empty(1024, np.int32), np.empty(1024, bool)
+                if not leaf:
+                    end = at + cut[i + 1] - cut[i]
                     if end > len(tokens):
                         tokens, loss = (np.resize(x, 2 * end) for x in (tokens, loss))
-                    tokens[row["at"] : end], loss[row["at"] : end] = row["tokens"], row["loss"]
+                    tokens[at:end], loss[at:end] = ids_[cut[i] : cut[i + 1]], loss_[cut[i] : cut[i + 1]]
                     continue
-                where = np.concatenate([np.arange(s["a"], s["b"]) for s in row["attends"]] or [np.empty(0, np.int64)])
-                ids, counts = tokens[where], loss[where]
-                formatted = encoding.decode_bytes(ids.tolist()).decode()
+                where = [slice(a, b) for a, b in zip(begins[many[i] : many[i + 1]].tolist(), ends[many[i] : many[i + 1]].tolist())]
+                ids, counts = (np.concatenate([x[w] for w in where]) if where else x[:0] for x in (tokens, loss))
+                raw = encoding.decode_bytes(ids.tolist())
+                formatted = raw.decode()
                 turns = parse(formatted)
+                # the loss mask's runs as bytes of what was read
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], counts, [False]]).astype(np.int8)))
-                said = "".join(unescape(encoding.decode_bytes(ids[a:b].tolist()).decode()) for a, b in edge.reshape(-1, 2).tolist())
+                byte = np.concatenate([[0], np.cumsum(width[ids])])[edge].tolist()
+                said = "".join(unescape(raw[a:b].decode()) for a, b in zip(byte[::2], byte[1::2]))
                 digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                out.append((row["class"], len(turns), digest, len(said), hashlib.sha256(said.encode()).hexdigest(), len(formatted)))
+                out.append((cls, len(turns), digest, len(said), hashlib.sha256(said.encode()).hexdigest(), len(formatted)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], ["class", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     return tree.mapInArrow(scan, "class binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
