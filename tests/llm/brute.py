@@ -86,12 +86,40 @@ def simhash(docs, bits=2):
     return [(d, f"{p:016x}", k) for (d, _), p, k in zip(docs, prints, label)]
 
 
-def lines(docs, least=30):
-    from packetloom.llm.line_dedup import deleted
+def common(a, b, words, least):
+    """Places of b that lie in a run which a has too, of so many words."""
+    at, out = collections.defaultdict(list), set()
+    for i, x in enumerate(a):
+        at[x].append(i)
+    for j, x in enumerate(b):
+        for i in at[x]:
+            if i and j and a[i - 1] == b[j - 1]:
+                continue  # not where the run begins
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if sum(words[j : j + n]) >= least:
+                out |= set(range(j, j + n))
+    return out
+
+
+def deleted(a, b, words, least):
+    """Common runs go until none is left, each time from what is left."""
+    live, gone = list(range(len(b))), set()
+    while True:
+        found = {live[j] for j in common(a, [b[k] for k in live], [words[k] for k in live], least)}
+        if not found:
+            return gone
+        gone |= found
+        live = [k for k in live if k not in found]
+
 
+def cut_lines(docs, least=30):
+    """{doc_id: (lines, numbers of deleted ones)}: each document against the first holder of each
+    shortest run of its lines with ``least`` words."""
     split = {d: [x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")] for d, t in docs}
     words = {d: [len(WHITE.findall(x.encode())) for x in v] for d, v in split.items()}
-    first, out, texts = {}, [], dict(docs)
+    first, out, texts = {}, {}, dict(docs)
     for d in sorted(split):
         partners = set()
         for i in range(len(split[d])):
@@ -99,10 +127,137 @@ def lines(docs, least=30):
             for j in range(i, len(split[d]) if words[d][i] else i):
                 n += words[d][j]
                 if n >= least:
-                    f = first.setdefault(tuple(split[d][i : j + 1]), d)
-                    partners |= {f} - {d}
+                    partners |= {first.setdefault(tuple(split[d][i : j + 1]), d)} - {d}
                     break
-        gone = {k for f in partners for k in deleted(split[f], split[d], words[d], least)}
-        kept = "\n".join(x for i, x in enumerate((texts[d] or "").split("\n")) if i not in gone)
-        out.append((d, len(split[d]), len(gone), len(kept), sha(kept.encode())))
+        out[d] = ((texts[d] or "").split("\n"), {k for f in partners for k in deleted(split[f], split[d], words[d], least)})
+    return out
+
+
+def lines(docs, least=30):
+    out = []
+    for d, (split, gone) in cut_lines(docs, least).items():
+        kept = "\n".join(x for i, x in enumerate(split) if i not in gone)
+        out.append((d, len(split), len(gone), len(kept), sha(kept.encode())))
+    return out
+
+
+# ---------------------------------------------------------------- sketches
+
+
+def _chain(longs, seed=42):
+    for x in longs:
+        seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
+    return seed & (2**63 - 1)
+
+
+def shingles(text, size=5):
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split("[ \t\n\x0b\f\r]+", (text or "").lower()) if w]
+    return {_chain(h[i : i + size]) for i in range(len(h) - size + 1)} if len(h) >= size else {_chain(h)} if h else set()
+
+
+def sketch(s, fraction=1 / 8, whole=1024):
+    return s if len(s) <= whole else {x for x in s if x < fraction * 2**63}
+
+
+def likeness(a, b, fraction=1 / 8, whole=1024):
+    """Of two shingle sets, over the range of hashes that both sketches keep."""
+    if not a and not b:
+        return 1.0
+    x, y = sketch(a), sketch(b)
+    if len(a) > whole or len(b) > whole:
+        x, y = ({v for v in s if v < fraction * 2**63} for s in (x, y))
+    return len(x & y) / min(len(x), len(y)) if x and y else 0.0
+
+
+def fingerprints(docs):
+    order, out = sorted(docs, key=lambda d: -d[0]), []
+    for i, (d, t) in enumerate(order):
+        t, following = t or "", order[(i + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        a, e, n = shingles(t), shingles(edited), shingles(following)
+        text = lambda s: "".join(f"{x:016x}" for x in sorted(sketch(s)))
+        out.append((d, len(t), sha(edited.encode()), text(a), text(e), likeness(a, e), likeness(a, n)))
     return out
+
+
+# ---------------------------------------------------------------- quality
+
+_KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".", b",", b"!", b"?", b"|", b"#$%&*", b"'\"()-:;/@_=+~^`", b"<>[]{}\\", bytes([*range(9), 11, 12, *range(14, 32)]), bytes(range(128, 256))]
+
+
+def statistics(text):
+    raw = (text or "").encode()
+    w = WHITE.findall(raw)
+    known = [sum(b in kind for b in raw) for kind in _KINDS]
+    shares = [((len(raw) - sum(known)) / max(len(raw), 1)) ** 0.5] + [(k / max(len(raw), 1)) ** 0.5 for k in known]
+    n, count = max(len(w), 1), collections.Counter(w)
+    if not w:
+        return shares + [0.0] * 11
+    return shares + [
+        np.log1p(len(w)), np.log1p(len(raw)), sum(map(len, w)) / n / 8, (sum(len(x) ** 2 for x in w) / n) ** 0.5 / 8, len(count) / n, (max(count.values()) / n) ** 0.5,
+        (sum(x == y for x, y in zip(w, w[1:])) / n) ** 0.5, sum(65 <= x[0] <= 90 for x in w) / n, sum(x[-1] in b"!#$%&*" for x in w) / n, sum(len(x) == 1 for x in w) / n, sum(len(x) > 20 for x in w) / n,
+    ]
+
+
+def isotonic(good, count):
+    """By its definition: the greatest of the least means."""
+    g, n = np.concatenate([[0], np.cumsum(good)]), np.concatenate([[0], np.cumsum(count)])
+    k = len(good)
+    return np.array([max(min((g[c + 1] - g[a]) / (n[c + 1] - n[a]) for c in range(i, k)) for a in range(i + 1)) for i in range(k)])
+
+
+def quality(docs, labels, features=256, ridge=1e-3, width=3.0, bins=4096):
+    """{doc_id: score}, by dense algebra over all rows at once."""
+    import zlib
+
+    x = {d: np.array(statistics(t)) for d, t in docs}
+    rows = [(d, q) for d, q in labels if d in x and q is not None and zlib.crc32(str(d).encode()) % 4 != 2]
+    unit = lambda d: int.from_bytes((xxhash.xxh64_intdigest((11).to_bytes(4, "little"), xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), 42))).to_bytes(8, "little"), "little", signed=True) % 1_000_000
+    train, held = ([r for r in rows if (unit(r[0]) < 250_000) == side] for side in (False, True))
+    a, y = np.array([x[d] for d, _ in train]), np.array([q for _, q in train], float)
+    rng = np.random.default_rng(7)
+    weights, bias = rng.normal(size=(a.shape[1], features)) / width, rng.uniform(0, 2 * np.pi, features)
+    mean, scale = a.mean(0), a.std(0)
+    scale[scale <= 1e-9] = 1
+
+    def phi(m):
+        z = np.clip((m - mean) / scale, -8, 8)
+        return np.hstack([np.ones((len(m), 1)), z, np.sqrt(2 / features) * np.cos(z @ weights + bias)])
+
+    f = phi(a)
+    penalty = np.diag([0.0] + [ridge * len(a)] * (f.shape[1] - 1)) + 1e-9 * np.eye(f.shape[1])
+    beta = np.linalg.solve(f.T @ f + penalty, f.T @ y)
+    raw = lambda m: phi(m) @ beta
+    at = np.clip((raw(np.array([x[d] for d, _ in held])) + 1) / 3 * bins, 0, bins - 1).astype(int)
+    good, count = np.bincount(at, [q for _, q in held], bins), np.bincount(at, None, bins)
+    some = np.flatnonzero(count)
+    level = isotonic(good[some], count[some])
+    # a level is known at the mean place of the bins that share it
+    edges, levels = [], []
+    for v in sorted(set(level.round(12))):
+        same = np.isclose(level, v, atol=1e-9)
+        edges.append(np.average((some[same] + 0.5) / bins * 3 - 1, weights=count[some][same]))
+        levels.append(v)
+    r = raw(np.array([x[d] for d, _ in docs]))
+    return dict(zip((d for d, _ in docs), np.interp(r, edges, levels) * (1 - 1e-6) + 1e-6 / (1 + np.exp(-np.clip(r, -30, 30)))))
+
+
+# ---------------------------------------------------------------- near copies
+
+
+def near_copies(docs, size=5):
+    """Least id of each component of Jaccard similarity 0.8 or more."""
+    sets, label = {}, {}
+    for d, t in docs:
+        w = WHITE.findall((t or "").encode().lower())
+        sets[d] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+        label[d] = d
+    names = sorted(sets)
+    for i, x in enumerate(names):
+        for y in names[i + 1 :]:
+            a, b = sets[x], sets[y]
+            if label[x] != label[y] and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
+                old, new = max(label[x], label[y]), min(label[x], label[y])
+                label = {d: new if k == old else k for d, k in label.items()}
+    return sorted(set(label.values()))

@@ -7,23 +7,6 @@ import brute
 from packetloom.llm import near_copies
 
 
-def kept(docs, size=5):
-    """Least id of each component of Jaccard 0.8 or more."""
-    sets, label = {}, {}
-    for d, t in docs:
-        w = brute.WHITE.findall((t or "").encode().lower())
-        sets[d] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
-        label[d] = d
-    names = sorted(sets)
-    for i, x in enumerate(names):
-        for y in names[i + 1 :]:
-            a, b = sets[x], sets[y]
-            if label[x] != label[y] and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
-                old, new = max(label[x], label[y]), min(label[x], label[y])
-                label = {d: new if k == old else k for d, k in label.items()}
-    return sorted(set(label.values()))
-
-
 def test_edited_copies(spark, documents, texts):
     """Copies edited in a few words, single and in a group larger than a hot bucket."""
     r = random.Random(5)
@@ -36,7 +19,7 @@ def test_edited_copies(spark, documents, texts):
                 w[r.randrange(length)] = f"edit{r.randrange(10**6)}"
             docs.append((1000 + 100 * g + k, " ".join(w)))
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, key string").repartition(3)
-    want = kept(docs)
+    want = brute.near_copies(docs)
     assert len(want) < len(docs) - 60
     for hot in (256, near_copies.HOT_BUCKET):
         out = near_copies.one_of_each(df, hot=hot)

@@ -29,6 +29,36 @@ def test_suffix(documents, texts, none):
     assert rows(suffix_dedup.suffix_dedup(none)) == []
 
 
+def test_words_that_differ_in_many_letters(spark):
+    """Texts whose running sums of powers would be equal."""
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    docs = [(1, "w " * 12 + bits), (2, "w " * 12 + other), (3, "w " * 12 + bits)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(substring_dedup.substring_dedup(df)) == sorted(brute.substring(docs))
+    assert rows(suffix_dedup.suffix_dedup(df)) == sorted(brute.suffix(docs))
+
+
+def test_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from packetloom.llm import _engine as E
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    for master, fine in (("local[4]", True), ("local", True), ("local-cluster[3,2,1024]", False), ("yarn", False)):
+        session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+        if fine:
+            assert E.shared_folder(session).startswith("file:///")
+        else:
+            with pytest.raises(RuntimeError):
+                E.shared_folder(session)
+    table = E.stored(spark.range(3), "test")
+    folder = table._stored_at.removeprefix("file://")
+    assert table.count() == 3 and __import__("os").path.isdir(folder)
+    E.removed(table)
+    assert not __import__("os").path.exists(folder)
+
+
 def test_repeated_ids(spark, texts):
     """Rows that share an id."""
     docs = [(7, texts[40][1]), (7, texts[40][1]), (7, texts[41][1]), (8, texts[40][1]), (None, texts[41][1])]
@@ -39,8 +69,16 @@ def test_repeated_ids(spark, texts):
     assert got(suffix_dedup.suffix_dedup(df)) == back(brute.suffix(known))
     assert got(substring_dedup.substring_dedup(df)) == back(brute.substring(known))
     assert simhash.one_of_each(df).count() == 2
-    assert packing.pack(df).count() == 5 and len(rows(fingerprints.edited_fingerprints(df).select("n_chars"))) == 5
-    assert line_dedup.report(df).count() == 5
+    packed = packing.pack(df).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["piece"], r["start"]) for r in packed) == sorted((d is None, d, 0, 0) for d, _ in docs)
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == 5 and len(rows(fingerprints.edited_fingerprints(df).select("n_chars"))) == 5
+    # equal rows are one document; of its others, and of later ids, copies of 30 words go
+    cut = line_dedup.report(df, 3).collect()
+    assert len(cut) == 5 and sorted(r["kept_chars"] for r in cut if r["doc_id"] == 8) == [0]
+    first, second = (sorted(r["kept_chars"] for r in cut if r["doc_id"] == 7 and r["n_lines"] == len(t.split("\n"))) for t in (texts[40][1], texts[41][1]))
+    assert second[-1] == 0 and len(set(first)) == 1
+    linked = simhash.near_duplicates(df).collect()
+    assert len(linked) == 5 and len({(r["fingerprint"], r["component_id"]) for r in linked}) == 2 and {r["component_id"] for r in linked} == {7}
 
 
 def test_benchmark(documents, texts, spark, none):
@@ -176,6 +214,24 @@ def test_quality(spark, none):
     assert {r["score"] for r in quality.quality(docs, labels.limit(0)).collect()} == {0.5} and rows(quality.quality(none, labels)) == []
 
 
+def test_quality_against_brute_force(spark, texts):
+    """Scores and decisions by dense algebra; a very long text among them."""
+    import random
+
+    r = random.Random(8)
+    vocabulary = [w for _, t in texts for w in (t or "").split()]
+    docs = [(i, " ".join(r.choices(vocabulary, k=r.randint(20, 90))).capitalize() + ".") for i in range(260)]
+    docs += [(1000 + i, " ".join(r.choice(["BUY!!", "now", "$$$", str(i), "click here"]) for _ in range(r.randint(1, 60)))) for i in range(200)]
+    docs += [(5000 + d, t) for d, t in texts] + [(9000, "word, " * 200_000)]
+    labels = [(d, int(d < 1000)) for d, _ in docs[:460]] + [(1, 1), (1003, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in quality.quality(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    want = brute.quality(docs, labels)
+    assert set(got) == set(want)
+    for d, w in want.items():
+        assert abs(got[d]["score"] - w) < 1e-6, d
+
+
 def test_isotonic():
     at, level = quality.isotonic(np.arange(5.0), np.array([1, 3, 2, 2, 4.0]), np.full(5, 4.0))
     assert (np.diff(level) > 0).all() and level[-1] == 1
@@ -294,6 +350,15 @@ def test_chat(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_long_text(spark):
+    """A turn longer than a sequence, and a thousand turns."""
+    long = "All of it, <|im_end|> or \\ not. " * 60_000
+    turns = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "user", long), (2, 1, "assistant", "short"), *((3, t, ["user", "assistant"][t % 2], f"t{t}") for t in range(1000))]
+    got = {r[0]: tuple(r) for r in chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[c][3] for c in (1, 2, 3)] == [len(long), 5, sum(len(f"t{t}") for t in range(1, 1000, 2))]
+    assert got[1][4] == hashlib.sha256(long.encode()).hexdigest() and got[3][1] == 1000
+
+
 def test_chat_tree(spark):
     """Shared turns are emitted once in a task; positions and intervals follow the path."""
     turns = [(c, t, "user", x) for c in range(6) for t, x in enumerate(["shared first turn", f"own {c}"])]

@@ -13,21 +13,20 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables here")
 
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import public_tokenizers
+    import pyarrow.parquet as pq
     from tokenizers import Tokenizer
 
-    from packetloom.llm import packing, quality
-    from packetloom.llm._engine import read
-    from packetloom.llm.line_dedup import deleted
-
-    docs, labels, items = (read(spark, SF, t) for t in ("documents", "labels", "benchmark"))
-    good = {r["doc_id"] for r in quality.quality(docs, labels).collect() if r["predicted"]}
-    kept = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in good}
-    cut = _lines_cut(kept, deleted)
-    parts = brute.simhash(list(cut.items()))
-    cut = {d: cut[d] for d, _, least in parts if d == least}
-    hit = {r[0] for r in brute.benchmark(list(cut.items()), [tuple(r) for r in items.collect()]) if r[5]}
+    table = lambda name, *columns: [tuple(r.values()) for r in pq.read_table(f"{SF}/{name}.parquet", columns=list(columns)).to_pylist()]
+    docs, labels, items = table("documents", "doc_id", "text"), table("labels", "doc_id", "quality"), table("benchmark", "item_id", "text")
+    score = brute.quality(docs, labels)
+    kept = [(d, t) for d, t in docs if score[d] >= 0.7]
+    assert 0 < len(kept) < len(docs)
+    cut = {d: "\n".join(x for i, x in enumerate(split) if i not in gone) for d, (split, gone) in brute.cut_lines(kept).items()}
+    cut = {d: cut[d] for d in brute.near_copies(list(cut.items()))}
+    hit = {r[0] for r in brute.benchmark(list(cut.items()), items) if r[5]}
     cut = {d: t for d, t in cut.items() if d not in hit}
-    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = {(d, k): len(ids[k * 4096 : (k + 1) * 4096]) for d, t in cut.items() for ids in [tokenizer.encode(t, add_special_tokens=False).ids + [1]] for k in range(-(-len(ids) // 4096))}
     got = corpus_pipeline.run(spark, SF).collect()
     assert {(r["doc_id"], r["piece"]): r["length"] for r in got} == want and len(got) == len(want)
@@ -39,23 +38,6 @@ def test_pipeline(spark):
     assert len(bins) <= -(-sum(want.values()) // 4096) + 1
 
 
-def _lines_cut(docs, deleted, least=30):
-    split = {d: t.split("\n") for d, t in docs.items()}
-    key = {d: [x.strip(" \t\n\x0b\x0c\r") for x in v] for d, v in split.items()}
-    words = {d: [len(brute.WHITE.findall(x.encode())) for x in v] for d, v in key.items()}
-    first, out = {}, {}
-    for d in sorted(docs):
-        partners = set()
-        for i in range(len(key[d])):
-            for j in range(i, len(key[d]) if words[d][i] else i):
-                if sum(words[d][i : j + 1]) >= least:
-                    partners |= {first.setdefault(tuple(key[d][i : j + 1]), d)} - {d}
-                    break
-        gone = {k for f in partners for k in deleted(key[f], key[d], words[d], least)}
-        out[d] = "\n".join(x for i, x in enumerate(split[d]) if i not in gone)
-    return out
-
-
 def test_stages_keep_columns(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from packetloom.llm._engine import read
