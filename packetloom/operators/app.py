@@ -14,8 +14,7 @@ def port_is(udp: Column, *ports: int) -> Column:
 
 
 def likely_dns(m: Column) -> Column:
-    counts = (u16(m, 4) != 0) | (u16(m, 6) != 0) | (u16(m, 8) != 0) | (u16(m, 10) != 0)
-    return (F.length(m) >= 12) & (bits(u8(m, 2), 3, 4) <= 5) & counts
+    return (F.length(m) >= 12) & (bits(u8(m, 2), 3, 4) <= 5) & (raw(m, 4, 8) != F.lit(bytearray(8)))
 
 
 def likely_dhcp(m: Column) -> Column:

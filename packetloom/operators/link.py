@@ -30,13 +30,14 @@ def looks_like_sll2(b: Column) -> Column:
     return (F.length(b) >= 20) & u16(b, 0).isin(0x0800, 0x0806, 0x86DD)
 
 
-def link_kind(b: Column) -> Column:
-    """ethernet, sll or sll2; the order of the tests matters."""
-    return F.when(is_common_ethertype(u16(b, 12)), "ethernet").when(looks_like_sll(b), "sll").when(looks_like_sll2(b), "sll2").otherwise("ethernet")
+def link_kind(b: Column, ethertype: Column | None = None) -> Column:
+    """ethernet, sll or sll2; the order of the tests matters. ethertype: of byte 12, if read."""
+    ethertype = u16(b, 12) if ethertype is None else ethertype
+    return F.when(is_common_ethertype(ethertype), "ethernet").when(looks_like_sll(b), "sll").when(looks_like_sll2(b), "sll2").otherwise("ethernet")
 
 
 def vlan_walk(b: Column) -> Column:
-    """(ethertype, offset, tags, short) behind all VLAN tags of an Ethernet frame."""
+    """(ethertype, offset, tags, short) behind the VLAN tags of an Ethernet frame that has any."""
     first = F.struct(u16(b, 12).alias("ethertype"), F.lit(14).alias("offset"), F.array().cast("array<int>").alias("tags"), F.lit(False).alias("short"))
 
     def step(s: Column, _: Column) -> Column:
@@ -47,21 +48,12 @@ def vlan_walk(b: Column) -> Column:
         return F.when(~more, s).when(fits, tagged).otherwise(stuck)
 
     steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(b) - 14) / 4).cast("int")))
-    return F.when(u16(b, 12).isin(*VLAN), F.aggregate(steps, first, step)).otherwise(first)
+    return F.aggregate(steps, first, step)
 
 
-def link(b: Column) -> Column:
-    """(destination, source, ethertype, vlan_tags, payload_offset, short) of a frame."""
-    kind, walk = link_kind(b), vlan_walk(b)
-    zero = F.lit(bytearray(6))
-
-    def cooked(ethertype: Column, offset: int) -> Column:
-        return F.struct(zero.alias("destination"), zero.alias("source"), ethertype.alias("ethertype"), F.array().cast("array<int>").alias("vlan_tags"), F.lit(offset).alias("payload_offset"), F.lit(False).alias("short"))
-
-    plain = F.get(
-        F.transform(F.array(walk), lambda w: F.struct(raw(b, 0, 6).alias("destination"), raw(b, 6, 6).alias("source"), w["ethertype"].alias("ethertype"), w["tags"].alias("vlan_tags"), w["offset"].alias("payload_offset"), ((F.length(b) < 14) | w["short"]).alias("short"))), F.lit(0)
-    )
-    return F.when(kind == "sll", cooked(u16(b, 14), 16)).when(kind == "sll2", cooked(u16(b, 0), 20)).otherwise(plain)
+def cooked(kind: Column, ethernet: Column, sll: Column, sll2: Column) -> Column:
+    """A value by the kind of link."""
+    return F.when(kind == "sll", sll).when(kind == "sll2", sll2).otherwise(ethernet)
 
 
 def arp_error(b: Column, at: At) -> Column:

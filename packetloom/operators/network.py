@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from packetloom.functions.bytes import At, _col, bits, ipv4, ipv6, raw, u8, u16, u32
+from packetloom.functions.bytes import At, _col, bits, ipv4_of, ipv6, raw, u8, u16, u32, word
 
 
 def ipv4_error(b: Column, at: At) -> Column:
     """Of the header itself; lengths against the capture are judged by the caller."""
-    at = _col(at)
-    left, first = F.length(b) - at, u8(b, at)
+    return _ipv4_error(F.length(b) - _col(at), u8(b, at))
+
+
+def _ipv4_error(left: Column, first: Column) -> Column:
     return (
         F.when(left < 20, "InvalidLength")
         .when((bits(first, 4, 4) != 4) | (bits(first, 0, 4) < 5), "InvalidHeader")
@@ -19,13 +21,24 @@ def ipv4_error(b: Column, at: At) -> Column:
     )
 
 
+def ipv4_words_error(left: Column, head: Column) -> Column:
+    """``ipv4_error`` from the header's first word."""
+    return _ipv4_error(left, bits(head, 56, 8))
+
+
 def ipv4_header(b: Column, at: At) -> Column:
     at = _col(at)
-    ihl, fragment = bits(u8(b, at), 0, 4), u16(b, at + 6)
+    return ipv4_of_words(b, at, word(b, at), word(b, at + 8), u32(b, at + 16))
+
+
+def ipv4_of_words(b: Column, at: Column, head: Column, middle: Column, last: Column) -> Column:
+    """The header from its first 8, next 8 and next 4 bytes."""
+    part = lambda w, shift, width: bits(w, shift, width).cast("int")
+    ihl = part(head, 56, 4)
     return F.struct(
-        bits(u8(b, at), 4, 4).alias("version"), ihl.alias("ihl"), bits(u8(b, at + 1), 2, 6).alias("dscp"), bits(u8(b, at + 1), 0, 2).alias("ecn"),
-        u16(b, at + 2).alias("total_length"), u16(b, at + 4).alias("identification"), bits(fragment, 13, 3).alias("flags"), bits(fragment, 0, 13).alias("fragment_offset"),
-        u8(b, at + 8).alias("ttl"), u8(b, at + 9).alias("protocol"), u16(b, at + 10).alias("checksum"), ipv4(b, at + 12).alias("source"), ipv4(b, at + 16).alias("destination"),
+        part(head, 60, 4).alias("version"), ihl.alias("ihl"), part(head, 50, 6).alias("dscp"), part(head, 48, 2).alias("ecn"),
+        part(head, 32, 16).alias("total_length"), part(head, 16, 16).alias("identification"), part(head, 13, 3).alias("flags"), part(head, 0, 13).alias("fragment_offset"),
+        part(middle, 56, 8).alias("ttl"), part(middle, 48, 8).alias("protocol"), part(middle, 32, 16).alias("checksum"), ipv4_of(middle).alias("source"), ipv4_of(last).alias("destination"),
         F.when(ihl > 5, raw(b, at + 20, ihl * 4 - 20)).alias("options"),
     )
 
@@ -36,11 +49,14 @@ def ipv6_error(b: Column, at: At) -> Column:
 
 
 def ipv6_header(b: Column, at: At) -> Column:
-    at = _col(at)
-    word = u32(b, at)
+    return ipv6_of_words(b, _col(at), word(b, at))
+
+
+def ipv6_of_words(b: Column, at: Column, head: Column) -> Column:
+    part = lambda shift, width: bits(head, shift, width).cast("int")
     return F.struct(
-        bits(word, 28, 4).cast("int").alias("version"), bits(word, 20, 8).cast("int").alias("traffic_class"), bits(word, 0, 20).alias("flow_label"),
-        u16(b, at + 4).alias("payload_length"), u8(b, at + 6).alias("next_header"), u8(b, at + 7).alias("hop_limit"), ipv6(b, at + 8).alias("source"), ipv6(b, at + 24).alias("destination"),
+        part(60, 4).alias("version"), part(52, 8).alias("traffic_class"), bits(head, 32, 20).alias("flow_label"),
+        part(16, 16).alias("payload_length"), part(8, 8).alias("next_header"), part(0, 8).alias("hop_limit"), ipv6(b, at + 8).alias("source"), ipv6(b, at + 24).alias("destination"),
     )
 
 

@@ -9,75 +9,87 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from packetloom.functions.bytes import bits, flag, ipv4, raw, u8, u16, u32
+from packetloom.functions.bytes import bits, flag, ipv4, raw, u8, u16, u32, word
 
 TCP, UDP, ICMP, ICMPV6, IGMP, GRE, AH, ESP = 6, 17, 1, 58, 2, 47, 51, 50
 _LEAST = {ICMP: 8, ICMPV6: 8, IGMP: 8, GRE: 4, AH: 12, ESP: 8}
 
 
 def tcp_error(b: Column, at: Column, end: Column) -> Column:
-    words = bits(u8(b, at + 12), 4, 4)
-    return F.when(end - at < 20, "InvalidLength").when(words < 5, "InvalidHeader").when(end - at < words * 4, "InvalidLength")
+    return _tcp_error(end - at, bits(u8(b, at + 12), 4, 4))
+
+
+def _tcp_error(left: Column, words: Column) -> Column:
+    return F.when(left < 20, "InvalidLength").when(words < 5, "InvalidHeader").when(left < words * 4, "InvalidLength")
 
 
 def udp_error(b: Column, at: Column, end: Column) -> Column:
-    return F.when(end - at < 8, "InvalidLength").when(u16(b, at + 4) < 8, "InvalidHeader").when(u16(b, at + 4) > end - at, "InvalidLength")
+    return _udp_error(end - at, u16(b, at + 4))
+
+
+def _udp_error(left: Column, length: Column) -> Column:
+    return F.when(left < 8, "InvalidLength").when(length < 8, "InvalidHeader").when(length > left, "InvalidLength")
 
 
-def transport_error(b: Column, protocol: Column, at: Column, end: Column) -> Column:
-    out = F.when(protocol == TCP, tcp_error(b, at, end)).when(protocol == UDP, udp_error(b, at, end))
+def words_error(protocol: Column, left: Column, head: Column, middle: Column) -> Column:
+    """What is wrong with a layer of which so many bytes are left; head and middle: the first
+    two words of TCP, the first of UDP."""
+    out = F.when(protocol == TCP, _tcp_error(left, bits(middle, 28, 4))).when(protocol == UDP, _udp_error(left, bits(head, 16, 16)))
     for number, least in _LEAST.items():
-        out = out.when((protocol == number) & (end - at < least), "InvalidLength")
+        out = out.when((protocol == number) & (left < least), "InvalidLength")
     return out
 
 
 def tcp(b: Column, at: Column) -> Column:
-    words, low = bits(u8(b, at + 12), 4, 4), u8(b, at + 13)
-    names = ("fin", "syn", "rst", "psh", "ack", "urg", "ece", "cwr")
-    flags = F.struct(*[flag(low, i).alias(n) for i, n in enumerate(names)], flag(u8(b, at + 12), 0).alias("ns"))
+    return tcp_of_words(b, at, word(b, at), word(b, at + 8), u32(b, at + 16))
+
+
+def tcp_of_words(b: Column, at: Column, head: Column, middle: Column, last: Column) -> Column:
+    """The header from its first 8, next 8 and next 4 bytes."""
+    part = lambda w, shift, width: bits(w, shift, width).cast("int")
+    words = part(middle, 28, 4)
+    names = ("fin", "syn", "rst", "psh", "ack", "urg", "ece", "cwr", "ns")
+    flags = F.struct(*[flag(middle, 16 + i).alias(n) for i, n in enumerate(names)])
     return F.struct(
-        u16(b, at).alias("source_port"), u16(b, at + 2).alias("destination_port"), u32(b, at + 4).alias("sequence_number"), u32(b, at + 8).alias("acknowledgment_number"),
-        words.alias("data_offset"), flags.alias("flags"), u16(b, at + 14).alias("window_size"), u16(b, at + 16).alias("checksum"), u16(b, at + 18).alias("urgent_pointer"),
+        part(head, 48, 16).alias("source_port"), part(head, 32, 16).alias("destination_port"), bits(head, 0, 32).alias("sequence_number"), bits(middle, 32, 32).alias("acknowledgment_number"),
+        words.alias("data_offset"), flags.alias("flags"), part(middle, 0, 16).alias("window_size"), part(last, 16, 16).alias("checksum"), part(last, 0, 16).alias("urgent_pointer"),
         F.when(words > 5, raw(b, at + 20, words * 4 - 20)).alias("options"),
     )
 
 
+def _option_pattern() -> str:
+    """A whole option in hex digits: padding, or kind, length and so many bytes as it says."""
+    sized = "|".join(f"{n:02X}.{{{2 * n - 4}}}" for n in range(2, 41))
+    return f"01|(?!0[01])..(?:{sized})"
+
+
+def _option(kind: int, least: int, rest: str) -> str:
+    """The last option of a kind before the end or a broken one, of ``least`` bytes at least."""
+    short = "|".join(f"{n:02X}" for n in range(2, least))
+    return f"^(?:{_option_pattern()})*(?={_option_pattern()}){kind:02X}" + (f"(?!{short})" if short else "") + f"..{rest}"
+
+
 def tcp_options(options: Column) -> Column:
     """(mss, window_scale, sack_permitted, ts_val, ts_ecr) of a TCP header's option bytes; NULL
     bytes give the empty struct. A broken option ends the walk."""
-    names = (("mss", "int"), ("window_scale", "int"), ("sack_permitted", "boolean"), ("ts_val", "bigint"), ("ts_ecr", "bigint"))
-    size = F.coalesce(F.length(options), F.lit(0))
-    empty = {"mss": F.lit(None).cast("int"), "window_scale": F.lit(None).cast("int"), "sack_permitted": F.lit(False), "ts_val": F.lit(None).cast("bigint"), "ts_ecr": F.lit(None).cast("bigint")}
-
-    def state(at: Column, **found: Column) -> Column:
-        return F.struct(at.alias("at"), *[found[n].cast(t).alias(n) for n, t in names])
-
-    def step(s: Column, _: Column) -> Column:
-        at = s["at"]
-        old = {n: s[n] for n, _ in names}
-        kind, length = u8(options, at), u8(options, at + 1)
-        stop = state(size, **old)
-        read = {
-            "mss": F.when((kind == 2) & (length >= 4), u16(options, at + 2)).otherwise(old["mss"]),
-            "window_scale": F.when((kind == 3) & (length >= 3), u8(options, at + 2)).otherwise(old["window_scale"]),
-            "sack_permitted": (kind == 4) | old["sack_permitted"],
-            "ts_val": F.when((kind == 8) & (length >= 10), u32(options, at + 2)).otherwise(old["ts_val"]),
-            "ts_ecr": F.when((kind == 8) & (length >= 10), u32(options, at + 6)).otherwise(old["ts_ecr"]),
-        }
-        return (
-            F.when(at >= size, s)
-            .when(kind == 0, stop)
-            .when(kind == 1, state(at + 1, **old))
-            .when((at + 2 > size) | (length < 2) | (at + length > size), stop)
-            .otherwise(state(at + length, **read))
-        )
-
-    walked = F.when(size > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), state(F.lit(0), **empty), step))
-    return F.coalesce(F.get(F.transform(F.array(walked), lambda s: F.when(s.isNotNull(), F.struct(*[s[n].alias(n) for n, _ in names]))), F.lit(0)), F.struct(*[empty[n].alias(n) for n, _ in names]))
+    digits = F.hex(options)
+
+    def number(pattern: str, kind: str) -> Column:
+        return F.conv(F.nullif(F.regexp_extract(digits, pattern, 1), F.lit("")), 16, 10).cast(kind)
+
+    return F.struct(
+        number(_option(2, 4, "(.{4})"), "int").alias("mss"), number(_option(3, 3, "(..)"), "int").alias("window_scale"), F.coalesce(digits.rlike(_option(4, 2, "")), F.lit(False)).alias("sack_permitted"),
+        number(_option(8, 10, "(.{8}).{8}"), "bigint").alias("ts_val"), number(_option(8, 10, ".{8}(.{8})"), "bigint").alias("ts_ecr"),
+    )
 
 
 def udp(b: Column, at: Column) -> Column:
-    return F.struct(u16(b, at).alias("source_port"), u16(b, at + 2).alias("destination_port"), u16(b, at + 4).alias("length"), u16(b, at + 6).alias("checksum"))
+    return udp_of_word(word(b, at))
+
+
+def udp_of_word(head: Column) -> Column:
+    names = ("source_port", "destination_port", "length", "checksum")
+    return F.struct(*[bits(head, 48 - 16 * i, 16).cast("int").alias(n) for i, n in enumerate(names)])
 
 
 def icmp(b: Column, at: Column) -> Column:

@@ -239,13 +239,15 @@ def transport_by_shape(b: Column) -> Column:
 
 
 def hexdump(b: Column) -> Column:
-    """Lines of 16 bytes: offset, hex, and printable ASCII; each ends in a line feed."""
+    """Lines of 16 bytes: offset (4 digits at least), hex, and printable ASCII; each ends in a
+    line feed."""
 
     def line(at: Column) -> Column:
         part = raw(b, at, 16)
         digits = F.rpad(F.regexp_replace(F.lower(F.hex(part)), "(..)", "$1 "), 48, " ")
         text = F.regexp_replace(F.decode(part, "ISO-8859-1"), "[^ -~]", ".")
-        return F.concat(F.lpad(F.lower(F.hex(at)), 4, "0"), F.lit("   "), digits, F.lit("  "), text, F.lit("\n"))
+        offset = F.lower(F.hex(at))
+        return F.concat(F.lpad(offset, F.greatest(F.length(offset), F.lit(4)), "0"), F.lit("   "), digits, F.lit("  "), text, F.lit("\n"))
 
     starts = F.filter(F.sequence(F.lit(0), F.greatest(_n(b) - 1, F.lit(0)), F.lit(16)), lambda i: i < _n(b))
     return F.array_join(F.transform(starts, line), "")

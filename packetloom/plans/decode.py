@@ -12,10 +12,10 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.bytes import raw
+from packetloom.functions.bytes import bits, raw, u16, u32, word
 from packetloom.functions.names import WARNINGS
 from packetloom.operators import app, link, network, transport
-from packetloom.operators.dns import dns
+from packetloom.operators.dns import dns, plain_name
 from packetloom.plans.config import ParseConfig
 
 MEMBERS = (
@@ -39,10 +39,6 @@ def _held(name: str) -> Column:
     return F.get(F.transform(F.array(F.col(name)), lambda x: x), F.lit(0))
 
 
-def _ipv4_fragment(header: Column) -> Column:
-    return (header["flags"].bitwiseAND(1) != 0) | (header["fragment_offset"] != 0)
-
-
 @lru_cache(32)
 def _stages(application: str, config: ParseConfig) -> tuple[list[tuple[Column, ...]], list[Column]]:
     """What each projection adds to what is there, and what the last one gives. Columns name no
@@ -53,68 +49,88 @@ def _stages(application: str, config: ParseConfig) -> tuple[list[tuple[Column, .
     def stage(*columns: Column) -> None:
         stages.append(columns)
 
-    stage(F.when(b.isNotNull(), link.link(b)).alias("_link"))
-    stage(c("_link.ethertype").alias("_type"), c("_link.payload_offset").alias("_l3"))
-    stage(F.when(c("_link.short") | (c("_l3") >= c("_n")), "InvalidLength").alias("_e1"))
+    # link
+    stage(u16(b, 12).alias("_t12"))
+    first = c("_t12")
+    stage(link.link_kind(b, first).alias("_link"), F.when(first.isin(*link.VLAN), link.vlan_walk(b)).alias("_vlan"))
+    vlan = c("_vlan")
+    stage(
+        link.cooked(c("_link"), F.coalesce(vlan["ethertype"], first), u16(b, 14), u16(b, 0)).alias("_type"),
+        F.when(b.isNotNull(), link.cooked(c("_link"), F.coalesce(vlan["offset"], F.lit(14)), F.lit(16), F.lit(20))).alias("_l3"),
+    )
     at, left = c("_l3"), c("_n") - c("_l3")
+    # of a sound frame: what follows, and its first two words
+    sound = ~F.coalesce(vlan["short"], F.lit(False)) & (at < c("_n"))
+    kind = F.when(c("_type") == 0x0800, "ipv4").when(c("_type") == 0x86DD, "ipv6").when(c("_type") == 0x0806, "arp").when(c("_type").isin(0x8863, 0x8864), "pppoe").when(c("_type").isin(0x8847, 0x8848), "mpls").otherwise("other")
+    ip = c("_type").isin(0x0800, 0x86DD)
+    stage(
+        F.when(sound, kind).alias("_kind"), F.when(~sound, "InvalidLength").alias("_e1"),
+        F.when(ip & (left >= 20), word(b, at)).alias("_i0"), F.when((c("_type") == 0x0800) & (left >= 20), word(b, at + 8)).alias("_i1"),
+    )
 
     # network
-    sound = c("_e1").isNull() & b.isNotNull()
-    stage(F.when(sound, F.when(c("_type") == 0x0800, "ipv4").when(c("_type") == 0x86DD, "ipv6").when(c("_type") == 0x0806, "arp").when(c("_type").isin(0x8863, 0x8864), "pppoe").when(c("_type").isin(0x8847, 0x8848), "mpls").otherwise("other")).alias("_kind"))
-    kind = c("_kind")
-    head = F.when(kind == "ipv4", network.ipv4_error(b, at)).when(kind == "ipv6", network.ipv6_error(b, at)).when(kind == "arp", link.arp_error(b, at)).when(kind == "pppoe", link.pppoe_error(b, at)).when(kind == "mpls", link.mpls_error(b, at))
+    kind, i0, i1 = c("_kind"), c("_i0"), c("_i1")
+    head = F.when(kind == "ipv4", network.ipv4_words_error(left, i0)).when(kind == "ipv6", network.ipv6_error(b, at)).when(kind == "arp", link.arp_error(b, at)).when(kind == "pppoe", link.pppoe_error(b, at)).when(kind == "mpls", link.mpls_error(b, at))
     if config.strict:
         head = head.when(kind == "other", "ValidationError")
-    stage(head.alias("_e2"))
+    stage(F.coalesce("_e1", head).alias("_e2"))
     fine = c("_e2").isNull()
+    v4, v6 = fine & (kind == "ipv4"), fine & (kind == "ipv6")
+    total, ihl, payload = bits(i0, 32, 16).cast("int"), bits(i0, 56, 4).cast("int") * 4, bits(i0, 16, 16).cast("int")
+    cut = total > left
+    length = F.when(v4 & (total < ihl), "InvalidLength").when(v6 & (payload + 40 > left), "InvalidLength")
+    if config.strict:
+        length = length.when(v4 & cut, "InvalidLength")
     stage(
-        F.when(fine & (kind == "ipv4"), network.ipv4_header(b, at)).alias("_ipv4"),
-        F.when(fine & (kind == "ipv6"), network.ipv6_header(b, at)).alias("_ipv6"),
         F.when(fine & (kind == "mpls"), link.mpls_walk(b, at, config.max_mpls_labels)).alias("_mpls"),
-        _held("_e2").alias("_h2"),
+        F.coalesce("_e2", length).alias("_e3"),
     )
-    v4, v6 = c("_ipv4"), c("_ipv6")
-    cut = v4["total_length"] > left
-    length = F.when(v4["total_length"] < v4["ihl"] * 4, "InvalidLength").when(v6["payload_length"] + 40 > left, "InvalidLength")
-    if config.strict:
-        length = length.when(cut, "InvalidLength")
-    stage(length.alias("_e3"))
-    stage(F.when(c("_e3").isNull() & v6.isNotNull(), network.extension_walk(b, at, config.max_ipv6_extension_headers)).alias("_walk"))
+    fine = c("_e3").isNull()
+    v4, v6 = fine & (kind == "ipv4"), fine & (kind == "ipv6")
+    stage(F.when(v6, network.extension_walk(b, at, config.max_ipv6_extension_headers)).alias("_walk"), _held("_e3").alias("_h3"))
+    fine = c("_h3").isNull()
+    v4, v6 = fine & (kind == "ipv4"), fine & (kind == "ipv6")
     walk = c("_walk")
     skipped = walk["limited"] | walk["non_initial"]
     stage(
-        F.when(c("_e3").isNull(), F.when(v4.isNotNull(), v4["protocol"]).when(walk["error"].isNull() & ~skipped, walk["next_header"])).alias("_proto"),
-        F.when(v4.isNotNull(), at + v4["ihl"] * 4).when(v6.isNotNull(), at + walk["offset"]).alias("_l4"),
-        F.when(v4.isNotNull(), at + F.least(v4["total_length"], left)).when(v6.isNotNull(), at + 40 + v6["payload_length"]).alias("_end"),
+        F.when(v4, bits(i1, 48, 8).cast("int")).when(walk["error"].isNull() & ~skipped, walk["next_header"]).alias("_proto"),
+        F.when(v4, at + ihl).when(v6, at + walk["offset"]).alias("_l4"),
+        F.when(v4, at + F.least(total, left)).when(v6, at + 40 + payload).alias("_end"),
     )
 
     # transport
     proto, l4, end = c("_proto"), c("_l4"), c("_end")
-    stage(transport.transport_error(b, proto, l4, end).alias("_e4"))
-    stage(F.coalesce("_e1", "_h2", "_e3", walk["error"], "_e4").alias("_error"))
+    stage(
+        F.when(proto.isin(transport.TCP, transport.UDP) & (end - l4 >= 8), word(b, l4)).alias("_t0"),
+        F.when((proto == transport.TCP) & (end - l4 >= 20), word(b, l4 + 8)).alias("_t1"), _held("_h3").alias("_h4"),
+    )
+    t0, t1 = c("_t0"), c("_t1")
+    stage(F.coalesce(c("_h4"), walk["error"], transport.words_error(proto, end - l4, t0, t1)).alias("_error"), F.when(t0.isNotNull(), transport.udp_of_word(t0)).alias("_ports"))
     good = c("_error").isNull()
-    is_ = lambda number: good & (proto == number)
-    stage(F.when(is_(transport.TCP), transport.tcp(b, l4)).alias("_tcp"), F.when(is_(transport.UDP), transport.udp(b, l4)).alias("_udp"), _held("_error").alias("_h4"))
-    good = c("_h4").isNull()
+    stage(
+        F.when(good & (proto == transport.UDP), c("_ports")).alias("_udp"),
+        F.when(good & (proto == transport.UDP), raw(b, l4 + 8, c("_ports.length") - 8)).alias("_app"),
+        _held("_error").alias("_h5"),
+    )
+    good = c("_h5").isNull()
     udp = c("_udp")
-    stage(F.when(udp.isNotNull(), raw(b, l4 + 8, udp["length"] - 8)).alias("_app"))
     m = c("_app")
     asked = app.port_is(udp, 53, 5353) & app.likely_dns(m)
+    stage(F.when(asked, plain_name(m)).alias("_name"), _held("_h5").alias("_h6"))
+    good = c("_h6").isNull()
     stage(
         F.when(udp.isNotNull(), app.hints(udp, m)).alias("_hints"),
-        F.when(asked, dns(m)).alias("_dns"),
+        F.when(c("_name").isNotNull(), dns(m, c("_name"))).alias("_dns"),
         F.when(app.port_is(udp, 4789), app.vxlan(m)).alias("_vxlan"),
         F.when(app.port_is(udp, 6081), app.geneve(m)).alias("_geneve"),
         F.when(app.port_is(udp, 51820, 51821) & app.wireguard_type(m).isNotNull(), F.struct(app.wireguard_type(m).alias("message_type"))).alias("_wireguard"),
-        _held("_h4").alias("_h5"),
     )
-    good = c("_h5").isNull()
 
     # rows
     mpls = c("_mpls")
     warned = F.array_compact(F.array(
-        F.when(v4.isNotNull() & cut, warning("Ipv4Truncated", at)),
-        F.when(v4.isNotNull() & _ipv4_fragment(v4), warning("Ipv4Fragmented", at + 6)),
+        F.when((kind == "ipv4") & cut, warning("Ipv4Truncated", at)),
+        F.when((kind == "ipv4") & (i0.bitwiseAND(0x3FFF) != 0), warning("Ipv4Fragmented", at + 6)),
         F.when(walk["limited"], warning("Ipv6ExtensionDepthLimit", l4)),
         F.when(walk["non_initial"], warning("Ipv6NonInitialFragment", l4)),
         F.when(kind == "pppoe", warning("PppoeNoPayload", at)),
@@ -127,18 +143,23 @@ def _stages(application: str, config: ParseConfig) -> tuple[list[tuple[Column, .
         F.when((proto == transport.AH), warning("AhInner", l4)),
         F.when(proto == transport.ESP, warning("EspInner", l4)),
     ))
-    frame = c("_link")
+    tcp = good & (proto == transport.TCP)
+    zero = F.lit(bytearray(6))
+    frame = F.struct(
+        link.cooked(c("_link"), raw(b, 0, 6), zero, zero).alias("destination"), link.cooked(c("_link"), raw(b, 6, 6), zero, zero).alias("source"), c("_type").alias("ethertype"),
+        F.coalesce(vlan["tags"], F.array().cast("array<int>")).alias("vlan_tags"), at.alias("payload_offset"),
+    )
     detail = F.when(c("_error") == "ValidationError", F.concat(F.lit("unsupported ethertype: 0x"), F.lpad(F.lower(F.hex("_type")), 4, "0")))
     out = {
-        "ethernet": F.when(frame.isNotNull(), F.struct(*[frame[n].alias(n) for n in ("destination", "source", "ethertype", "vlan_tags", "payload_offset")])),
+        "ethernet": F.when(b.isNotNull(), frame),
         "arp": F.when(kind == "arp", link.arp(b, at)),
-        "ipv4": v4,
-        "ipv6": v6,
-        "transport": F.when(c("_tcp").isNotNull() | udp.isNotNull(), F.struct(F.when(c("_tcp").isNotNull(), "tcp").otherwise("udp").alias("kind"), c("_tcp").alias("tcp"), udp.alias("udp"))),
+        "ipv4": F.when(kind == "ipv4", network.ipv4_of_words(b, at, i0, i1, u32(b, at + 16))),
+        "ipv6": F.when(kind == "ipv6", network.ipv6_of_words(b, at, i0)),
+        "transport": F.when(tcp | udp.isNotNull(), F.struct(F.when(tcp, "tcp").otherwise("udp").alias("kind"), F.when(tcp, transport.tcp_of_words(b, l4, t0, t1, u32(b, l4 + 16))).alias("tcp"), udp.alias("udp"))),
         "icmp": F.when(proto == transport.ICMP, transport.icmp(b, l4)),
         "icmpv6": F.when(proto == transport.ICMPV6, transport.icmp(b, l4)),
         "igmp": F.when(proto == transport.IGMP, transport.igmp(b, l4)),
-        "tcp_options": F.when(c("_tcp").isNotNull(), transport.tcp_options(c("_tcp.options"))),
+        "tcp_options": F.when(tcp, transport.tcp_options(F.when(bits(t1, 28, 4) > 5, raw(b, l4 + 20, bits(t1, 28, 4).cast("int") * 4 - 20)))),
         "gre": F.when(proto == transport.GRE, transport.gre(b, l4)),
         "pppoe": F.when(kind == "pppoe", link.pppoe(b, at)),
         "vxlan": c("_vxlan"),

@@ -36,6 +36,18 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+#: A row group of Parquet, which one task reads, has about this size at most.
+ROW_GROUP = 128 << 20
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows, dealt over all cores where they may lie in fewer row groups than that: decoding
+    them is far more work than moving them. Larger tables stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores, *keys) if size < cores * ROW_GROUP else rows
+
+
 def _ip(x: str) -> str:
     """SQL: 10.x.y.z of a number's low 24 bits."""
     return f"'10.' || ((({x}) >> 16) & 255) || '.' || ((({x}) >> 8) & 255) || '.' || (({x}) & 255)"
@@ -52,7 +64,7 @@ def tcp_frames(spark: SparkSession, sf_dir: str, options: Column | None = None,
         window=c("l_quantity").cast("int"), options=options,
     )
     packet = S.ipv4(6, c("l_orderkey"), c("l_partkey"), segment, ttl=c("l_linenumber") + 60, **ip)
-    return _read(spark, sf_dir, "lineitem").withColumn("data", S.ethernet(0x0800, packet))
+    return spread(_read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber").withColumn("data", S.ethernet(0x0800, packet))
 
 
 _FLAGS = "CASE l_returnflag WHEN 'A' THEN 2 WHEN 'N' THEN 16 ELSE 1 END + CASE l_linestatus WHEN 'O' THEN 8 ELSE 0 END"
@@ -189,7 +201,7 @@ def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dns_frames(spark: SparkSession, sf_dir: str, port: int = 53) -> DataFrame:
     """orders rows with a DNS query each, behind 0, 1 or 2 VLAN tags."""
-    rows = _read(spark, sf_dir, "orders")
+    rows = spread(_read(spark, sf_dir, "orders"), "o_orderkey")
     labels = [F.concat(F.lit("o"), c("o_orderkey").cast("string")), F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]", "-")), F.lit("example"), F.lit("com")]
     packet = S.ipv4(17, c("o_orderkey"), c("o_custkey"), S.udp(c("o_custkey") % 60000 + 1024, port, S.dns_query(c("o_orderkey") % 65536, labels, c("o_orderkey") % 7 + 1)))
     tag = c("o_custkey") % 4096

@@ -105,26 +105,26 @@ class _Reader(DataSourceReader):
 
 
 class _Stream(SimpleDataSourceStreamReader):
-    """Files that are new since the last offset, by name."""
+    """Files whose names are new since the last offset, in whatever order they come."""
 
     def __init__(self, options: dict):
         self.options = options
 
     def initialOffset(self):
-        return {"after": ""}
+        return {"seen": []}
 
-    def _rows(self, after: str, to: str | None):
-        for p in _listed(self.options["path"]):
-            if p > after and (to is None or p <= to):
-                with open(p, "rb") as f:
-                    yield from rows_of(p, f.read(), self.options.get("kind"))
+    def _rows(self, paths: list[str]):
+        for p in paths:
+            with open(p, "rb") as f:
+                yield from rows_of(p, f.read(), self.options.get("kind"))
 
     def read(self, start):
-        paths = [p for p in _listed(self.options["path"]) if p > start["after"]]
-        return self._rows(start["after"], paths[-1] if paths else start["after"]), {"after": paths[-1] if paths else start["after"]}
+        seen = set(start["seen"])
+        paths = [p for p in _listed(self.options["path"]) if p not in seen]
+        return self._rows(paths), {"seen": sorted(seen.union(paths))}
 
     def readBetweenOffsets(self, start, end):
-        return self._rows(start["after"], end["after"])
+        return self._rows(sorted(set(end["seen"]) - set(start["seen"])))
 
 
 class CaptureDataSource(DataSource):

@@ -51,6 +51,12 @@ FRAMES = {
     "mdns_underscore": u4(5353, 5353, bytes.fromhex("000001000001000000000000") + b"\x05_http\x05local\x00\x00\x01\x00\x01"),
     "dns_loop": u4(1, 53, bytes.fromhex("000001000001000000000000") + b"\xc0\x0c\x00\x01\x00\x01"),
     "dns_pointer": u4(1, 53, bytes.fromhex("000001000002000000000000") + b"\x01a\x01b\x00\x00\x01\x00\x01\xc0\x0e\x00\x02\x00\x01"),
+    "dns_line_end": u4(1, 53, bytes.fromhex("000001000001000000000000") + b"\x04abc\n\x00\x00\x01\x00\x01"),
+    "dns_next_line": u4(1, 53, bytes.fromhex("000001000001000000000000") + b"\x04abc\x85\x00\x00\x01\x00\x01"),
+    "dns_label_50": u4(1, 53, bytes.fromhex("000001000001000000000000") + b"\x32" + b"2" * 50 + b"\x01b\x00\x00\x01\x00\x01"),
+    "dns_root": u4(1, 53, bytes.fromhex("000001000001000000000000") + b"\x00\x00\x02\x00\x01"),
+    "dns_cut": u4(1, 53, bytes.fromhex("000001000001000000000000") + b"\x03www\x00\x00\x02\x00"),
+    "dns_none": u4(1, 53, bytes.fromhex("000081800000000100000000") + b"\x00" * 12),
     "dns_long_label": u4(1, 53, bytes.fromhex("000001000001000000000000") + b"\x40" + b"a" * 64 + b"\x00\x00\x01\x00\x01"),
     "gre": eth(0x0800, ip4(47, bytes.fromhex("00000800"))),
     "vxlan": u4(1, 4789, bytes.fromhex("0800000000006400")),
@@ -150,6 +156,43 @@ def test_transport(got):
     assert got["padded"]["transport"]["udp"]["length"] == 9
 
 
+def test_tcp_options(spark):
+    """Against a walk over the bytes: the last of a kind counts, a broken option or an end stops."""
+    import random
+
+    from packetloom.operators.transport import tcp_options
+    from pyspark.sql import functions as F
+
+    def walked(o):
+        out, at = {"mss": None, "window_scale": None, "sack_permitted": False, "ts_val": None, "ts_ecr": None}, 0
+        while o is not None and at < len(o) and o[at]:
+            if o[at] == 1:
+                at += 1
+                continue
+            if at + 2 > len(o) or o[at + 1] < 2 or at + o[at + 1] > len(o):
+                break
+            n, data = o[at + 1], o[at + 2 :]
+            if o[at] == 2 and n >= 4:
+                out["mss"] = int.from_bytes(data[:2])
+            elif o[at] == 3 and n >= 3:
+                out["window_scale"] = data[0]
+            elif o[at] == 4:
+                out["sack_permitted"] = True
+            elif o[at] == 8 and n >= 10:
+                out["ts_val"], out["ts_ecr"] = int.from_bytes(data[:4]), int.from_bytes(data[4:8])
+            at += n
+        return out
+
+    r = random.Random(7)
+    cases = [None, b"", SYN_OPTIONS, b"\x02", b"\x02\x03\x00", b"\x01\x00\x04\x02"]
+    for _ in range(1500):
+        o = b"".join(r.choice([b"\1", b"\2\4\x05\xb4", b"\3\3\7", b"\4\2", b"\x08\x0a" + r.randbytes(8), b"\5\x0a" + r.randbytes(8), b"\2\6" + r.randbytes(4), r.randbytes(2), b"\xfe\3\0"]) for _ in range(r.randint(1, 9)))
+        cases.append(o[: r.choice([len(o), len(o), r.randint(0, 40)])][:40])
+    df = spark.createDataFrame([(None if o is None else bytearray(o),) for o in cases], "o binary")
+    for row in df.select("o", tcp_options(F.col("o")).alias("x")).collect():
+        assert row["x"].asDict() == walked(None if row["o"] is None else bytes(row["o"])), row["o"]
+
+
 def test_link(got):
     assert got["qinq"]["ethernet"]["vlan_tags"] == [1, 2] and got["qinq"]["ethernet"]["payload_offset"] == 22
     assert got["ethernet_over_sll"]["ethernet"]["payload_offset"] == 14
@@ -171,6 +214,9 @@ def test_applications(got):
     assert got["mdns_underscore"]["udp_hints"] == ["mdns"] and got["mdns_underscore"]["dns"] is None
     assert got["dns_loop"]["udp_hints"] == ["dns"] and got["dns_loop"]["dns"] is None and got["dns_long_label"]["dns"] is None
     assert name("dns_pointer") == ["a.b", "b"]
+    assert got["dns_line_end"]["dns"] is None and got["dns_next_line"]["dns"] is None and got["dns_cut"]["dns"] is None
+    assert name("dns_label_50") == ["2" * 50 + ".b"] and got["dns_root"]["dns"]["questions"] == [{"qname": "", "qtype": 2, "qclass": 1}]
+    assert got["dns_none"]["dns"]["header"] == {"transaction_id": 0, "flags": 0x8180, "questions": 0, "answers": 1, "authorities": 0, "additionals": 0} and name("dns_none") == []
     assert got["dhcp"]["udp_hints"] == ["dhcp"] and got["ntp"]["udp_hints"] == ["ntp"]
     assert got["wireguard"]["wireguard"]["message_type"] == "handshake-response" and got["wireguard"]["udp_hints"] == ["wireguard"]
     assert got["wireguard_short"]["wireguard"] is None and got["wireguard_short"]["udp_hints"] == []
