@@ -8,7 +8,9 @@ frequency is too high to be found. Each pair's line hashes are aligned by patien
 aligned common blocks of ``least_words`` words are deleted from the later document, and what
 is left is aligned again until nothing more is found, so moved blocks are found too. Lines
 that the alignment leaves go with any run of so many words that the earlier document has,
-so each copy of a passage that either document repeats is found. Only hashes travel to the pairs; texts are joined once, with the numbers of their deleted lines.
+so each copy of a passage that either document repeats is found. Only hashes travel to the
+pairs, dealt by both documents so that one with thousands of copies is spread over all
+tasks; texts are joined once, with the numbers of their deleted lines.
 
 Lines are split at line feeds and compared without outer white space. Deletion is judged
 on the input: the earlier document counts whole, whatever is deleted from it.
@@ -16,7 +18,8 @@ on the input: the earlier document counts whole, whatever is deleted from it.
 Rows: one for each input row, all columns kept. Null text stays null, empty text empty; a
 document all of whose lines go has the empty text. Documents are ordered by doc_id, null
 first, ties by a hash of the text; rows with equal doc_id and text count as one document
-and are treated alike.
+and are treated alike. Very long texts are aligned like any other, in time about linear in
+their lines. No documents: no rows. Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from packetloom.llm import _engine as E
 
 LEAST_WORDS = 30
+#: So many seeds at most are held by documents so numerous that one task should not join them.
+MOST_HOT = 10_000
 #: The query's: rare single lines are seeds, and only blocks of one or two words stay.
 FLOOR_WORDS = 3
 
@@ -158,9 +163,8 @@ def lines_of(data: np.ndarray, offsets: np.ndarray, least_words: int) -> list[tu
     a, b = np.searchsorted(first, starts), np.searchsorted(first, ends)
     count = b - a
     some = count > 0
-    sums = E.prefix_hash(data)
     key = np.zeros(len(starts), np.uint64)
-    key[some] = E.span_hash(sums, first[a[some]], last[b[some] - 1])
+    key[some] = E.word_hash(data, first[a[some]], last[b[some] - 1])
     out: list[tuple[list[int], list[int], list[int]]] = []
     cut = np.searchsorted(text, np.arange(len(full) + 1))
     for i in range(len(full)):
@@ -199,10 +203,19 @@ def deletions(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     found = _identity(documents.select("doc_id", "text")).select("_d", "_t", "text")
     found = E.stored(found.mapInArrow(scan, "_d long, _t long, keys array<long>, words array<int>, seeds array<long>"), "lines")
     held = found.select(F.struct("_d", "_t").alias("doc"), F.explode("seeds").alias("seed"))
-    first = held.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("seed", "first")
-    pairs = held.join(first, "seed").filter("first < doc").select("doc", "first").distinct()
+    first = held.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("first < last").select("seed", "first", "n")
+    first = E.stored(first, "seeds")
+    # the seeds that very many documents hold are few: at most MOST_HOT, whatever the input
+    total = first.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(first.filter(F.col("n") > max(1000, total // MOST_HOT)).select("seed", "first"))
+    rare = first.filter(F.col("n") <= max(1000, total // MOST_HOT)).select("seed", "first")
+    pairs = held.join(hot, "seed").unionByName(held.join(rare, "seed")).filter("first < doc").select("doc", "first").distinct()
+    # a first document of very many others is sent to as many places as there are partitions
+    salt = F.pmod(F.xxhash64("doc"), F.lit(E.partitions(documents.sparkSession))).cast("int")
+    pairs = E.stored(pairs.withColumn("salt", salt), "pairs")
     one = found.select(F.struct("_d", "_t").alias("doc"), "keys", "words").dropDuplicates(["doc"])
-    both = pairs.join(one, "doc").join(one.select(F.col("doc").alias("first"), F.col("keys").alias("earlier")), "first")
+    earlier = pairs.select("first", "salt").distinct().join(one.select(F.col("doc").alias("first"), F.col("keys").alias("earlier")), "first")
+    both = pairs.join(one, "doc").join(earlier, ["first", "salt"])
 
     def align(batches):
         for batch in batches:
