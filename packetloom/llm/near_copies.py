@@ -1,16 +1,21 @@
-"""Near copies: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
-
-The join is exact. Shingles (``size`` lower-case words, 64-bit hashes) have one fixed order,
-frequent ones last; two sets that are similar enough share one of the first
-n - ceil(0.8 n) + 1 of each, so a document is dealt to those shingles only. Within a bucket,
-sizes and places bound what two sets can share and discard a pair; so does the distance of
-two parity marks, which no set difference falls below; the rest are verified on whole sets. A bucket of more than ``hot`` sets first compares each with one hub; the pairs
-that those links leave in different components are compared after it, so a group of
-thousands of near copies makes no pair for each two of them and still none is skipped.
+"""SimHash near-dedup on shingle sets: one document of each group that is similar by 0.8.
+
+Two documents are linked if their sets of word shingles have a Jaccard similarity of 0.8 or
+more. Their SimHash fingerprints then differ in 10 of 64 bits on average and, but for a
+chance of some 3 in 10 million, in ``RADIUS`` at most; blocks of so few equal bits select
+nothing, so candidates meet by shingles. Shingles (``size`` lower-case words, 64-bit hashes)
+have one fixed order, frequent ones last; two sets that are similar enough share one of the
+first n - ceil(0.8 n) + 1 of each, so a document is dealt to those only. Within a bucket,
+sizes and places bound what two sets can share and discard a pair; then the pivot distance
+table does; the survivors are verified on whole sets. A bucket of more than ``hot`` sets
+first compares each with one hub; the pairs that those links leave in different components
+are compared after it, so a group of thousands of near copies makes no pair for each two of
+them and still none is skipped.
 
 Rows: of each component the row with the smallest doc_id (null last, ties by a hash of the
 text; of equal rows any one), all columns. A text of fewer words than a shingle is one
-shingle; texts without words, and null, are alike.
+shingle; texts without words, and null, are alike. Very long texts are compared whole. No
+documents: no rows.
 """
 
 from __future__ import annotations
@@ -21,13 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.llm import _engine as E
+from packetloom.llm import simhash
 from packetloom.llm._graph import components
 
-SIZE = 5
+SIZE, RADIUS = 5, 24
 #: A bucket of more sets is compared with hubs first.
 HOT_BUCKET = 8
-#: Bits of a set's mark: each says whether an odd number of its shingles fall there.
-MARK = 512
 #: Shingles that are put last in the order, at most; any choice gives the same links.
 FREQUENT = 100_000
 PAIRS = "u long, v long, key long, n int, at int"
@@ -37,7 +41,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, frequent: np.
     """Hashes of each text's distinct shingles, in the fixed order, and n + 1 offsets into them."""
     part = E.LOWER[data]
     starts, ends, at = E.words(part, offsets, E.WHITE)
-    h = E.span_hash(E.prefix_hash(part), starts, ends)
+    h = E.word_hash(part, starts, ends)
     inside = E.whole(at, size)
     text, key = E.owner(at)[: len(inside)][inside], E.windows(h, size)[inside]
     short = [(i, _joined(h[at[i] : at[i + 1]])) for i in np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < size)).tolist()]
@@ -75,13 +79,6 @@ def _array(key: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(key.view(np.int64)))
 
 
-def _marks(key: np.ndarray, n: np.ndarray) -> pa.Array:
-    """The parity mark of each set, as longs."""
-    at = np.repeat(np.arange(len(n)), n) * MARK + (key % np.uint64(MARK)).astype(np.int64)
-    odd = (np.bincount(at, minlength=len(n) * MARK) & 1).astype(np.uint8)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (MARK // 64)), pa.array(np.packbits(odd).view(np.int64)))
-
-
 def _close(n: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether sets x and y, which share the item at these places, can share 4/9 of both sizes."""
     most = np.minimum(at[x], at[y]) + 1 + np.minimum(n[x] - at[x], n[y] - at[y]) - 1
@@ -119,7 +116,8 @@ def _scan(hot: int | None):
         rest = [pa.nulls(len(u), t) if x is None else pa.array(x).cast(t) for x, t in ((key, pa.int64()), (n, pa.int32()), (at, pa.int32()))]
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *rest], schema=schema)
 
-    def found(key, sid, n, at, part):
+    def found(key, sid, place, part):
+        n, at = place >> 32, place & 0xFFFFFFFF
         first = E.grouped(key)
         size = np.diff(np.append(first, len(key)))
         many = np.repeat(size, size)
@@ -139,7 +137,9 @@ def _scan(hot: int | None):
     def scan(batches):
         rest = None
         for batch in batches:
-            columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("key", "sid", "n", "at", "part")]
+            columns = [batch.column(c).to_numpy() for c in batch.schema.names]
+            if len(columns) == 3:  # no parts yet: each set is its own
+                columns.append(columns[1])
             if rest is not None:
                 columns = [np.concatenate(x) for x in zip(rest, columns)]
             cut = E.grouped(columns[0])[-1] if len(columns[0]) else 0  # the last key may go on
@@ -152,9 +152,10 @@ def _scan(hot: int | None):
     return scan
 
 
-def _bucketed(rows: DataFrame, hot: int | None) -> DataFrame:
-    rows = rows.select("key", "sid", "n", "at", "part").repartition(E.partitions(rows.sparkSession), "key")
-    return rows.sortWithinPartitions("key", "n", "sid").mapInArrow(_scan(hot), PAIRS)
+def _bucketed(rows: DataFrame, hot: int | None, *part: str) -> DataFrame:
+    """rows: key, sid and, as one number, n and at; by key and size."""
+    rows = rows.select("key", "sid", "place", *part).repartition(E.partitions(rows.sparkSession), "key")
+    return rows.sortWithinPartitions("key", "place", "sid").mapInArrow(_scan(hot), PAIRS)
 
 
 def one_of_each(documents: DataFrame, size: int = SIZE, hot: int = HOT_BUCKET) -> DataFrame:
@@ -175,42 +176,65 @@ def one_of_each(documents: DataFrame, size: int = SIZE, hot: int = HOT_BUCKET) -
             keys, n, cut, sid = _sets(batch, size, spread.value)
             head = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
             place = np.arange(len(keys)) - np.repeat(cut[:-1], n)
-            first = keys[place < np.repeat(head, n)]
-            yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_t"), pa.array(sid.view(np.int64)), pa.array(n.astype(np.int32)), _array(first, head), _marks(keys, n)], ["_d", "_t", "sid", "n", "head", "mark"])
+            first, fp = keys[place < np.repeat(head, n)], simhash.of_sets(keys, cut)
+            yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_t"), pa.array(sid.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), _array(first, head)], ["_d", "_t", "sid", "n", "fp", "head"])
 
-    found = E.stored(texts.mapInArrow(scan, "_d long, _t long, sid long, n int, head array<long>, mark array<long>"), "shingles")
+    found = E.stored(texts.mapInArrow(scan, "_d long, _t long, sid long, n int, fp long, head array<long>"), "shingles")
     # equal sets are one from here on
-    distinct = E.stored(found.groupBy("sid").agg(F.min(F.struct("_d", "_t")).alias("first"), F.min("n").alias("n"), F.first("head").alias("head"), F.first("mark").alias("mark")), "sets")
-    dealt = distinct.select("sid", "n", F.posexplode("head").alias("at", "key")).withColumn("part", F.col("sid"))
+    distinct = E.stored(found.groupBy("sid").agg(F.min(F.struct("_d", "_t")).alias("first"), F.min("n").alias("n"), F.first("fp").alias("fp"), F.first("head").alias("head")), "sets")
+    place = F.shiftleft(F.col("n").cast("long"), 32)
+    dealt = distinct.select("sid", "n", F.posexplode("head").alias("at", "key")).select("key", "sid", place.bitwiseOR(F.col("at").cast("long")).alias("place"))
     passed = E.stored(_bucketed(dealt, hot), "pairs")
-    links = _verified(texts, distinct, passed.filter("key IS NULL").select("u", "v").distinct(), size)
+    sets = distinct.select("sid", "fp", "first")
+    links = _verified(texts, sets, passed.filter("key IS NULL").select("u", "v").distinct(), size)
     roots = components(links)
-    members = passed.filter("key IS NOT NULL").select("key", F.col("u").alias("sid"), "n", "at")
+    members = passed.filter("key IS NOT NULL").select("key", F.col("u").alias("sid"), place.bitwiseOR(F.col("at").cast("long")).alias("place"))
     if not members.isEmpty():
         parts = members.join(roots.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("part", F.coalesce("root", "sid"))
-        more = E.stored(_bucketed(parts, None).select("u", "v").distinct(), "pairs")
-        roots = components(links.union(_verified(texts, distinct, more, size)))
-    roots = roots.withColumnRenamed("vertex", "sid")
-    kept = distinct.select("sid", "first").join(roots, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first")).select("first._d", "first._t")
+        more = E.stored(_bucketed(parts, None, "part").select("u", "v").distinct(), "pairs")
+        E.removed(passed)
+        roots = components(links.union(_verified(texts, sets, more, size)))
+        E.removed(more)
+    # rows that another row stands for: of its component, of its set, or its equal
+    first = sets.join(roots.withColumnRenamed("vertex", "sid"), "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("kept"))
+    named = roots.withColumnRenamed("vertex", "sid").join(first, "root").select("sid", "kept")
+    of = found.select("sid", F.struct("_d", "_t").alias("me"))
+    rest = of.join(sets.select("sid", "first"), "sid").join(named, "sid", "left").filter(F.coalesce("kept", "first") != F.col("me")).select("me")
+    many = of.groupBy("me").agg(F.count("*").alias("n")).filter("n > 1").select("me")
+    doubt = E.stored(rest.withColumn("gone", F.lit(True)).union(many.withColumn("gone", F.lit(False))).groupBy("me").agg(F.max("gone").alias("gone")).select("me._d", "me._t", "gone"), "doubt")
+    E.removed(found)
+    E.removed(distinct)
     once = Window.partitionBy("_d", "_t").orderBy(F.lit(1))
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), *key)
-    rows = rows.join(kept, ["_d", "_t"]).withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-    return rows.select("_row.*")
+    some, others = E.parted(rows, doubt, "_d", "_t")
+    some = some.join(doubt, ["_d", "_t"], "left").filter(~F.coalesce("gone", F.lit(False))).withColumn("_n", F.row_number().over(once)).filter("_n = 1")
+    return some.select("_row.*").union(others.select("_row.*"))
 
 
-def _verified(texts: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """The pairs (u, v) of sets that are similar; only their documents' texts are read again."""
+def _verified(texts: DataFrame, sets: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """The pairs (u, v) of sets that are similar; only texts of pairs that the pivots leave are
+    read again."""
+
+    def prune(batches):
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy().view(np.uint64) for c in ("u_fp", "v_fp"))
+            yield batch.filter(pa.array(simhash.near(x, y, RADIUS))).select(["u", "v"])
 
     def scan(batches):
         for batch in batches:
             keys, n, _, sid = _sets(batch, size, np.empty(0, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(sid.view(np.int64)), _array(keys, n)], ["sid", "keys"])
 
-    u, v = (distinct.select(F.col("sid").alias(x), F.struct("n", "mark").alias(f"{x}_")) for x in "uv")
-    apart = F.aggregate(F.zip_with("u_.mark", "v_.mark", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    pairs = E.stored(pairs.join(u, "u").join(v, "v").filter(9 * apart <= F.col("u_.n") + F.col("v_.n")).select("u", "v"), "near")
-    some = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(distinct, "sid").select("first._d", "first._t")
-    sets = texts.join(some, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).select("text").mapInArrow(scan, "sid long, keys array<long>")
-    sets = E.stored(sets, "compared")
-    both = pairs.join(sets.select(F.col("sid").alias("u"), F.col("keys").alias("a")), "u").join(sets.select(F.col("sid").alias("v"), F.col("keys").alias("b")), "v")
-    return E.stored(both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), "links")
+    u, v = (sets.select(F.col("sid").alias(x), F.col("fp").alias(f"{x}_fp")) for x in "uv")
+    pairs = pairs.join(u, "u").join(v, "v").select("u", "v", "u_fp", "v_fp").mapInArrow(prune, "u long, v long")
+    # a set of very many pairs is sent to as many places as there are partitions
+    pairs = E.stored(pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(E.partitions(texts.sparkSession))).cast("int")), "near")
+    some = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(sets, "sid").select("first._d", "first._t")
+    compared = E.parted(texts, some, "_d", "_t")[0].join(some, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"])
+    compared = E.stored(compared.select("text").mapInArrow(scan, "sid long, keys array<long>"), "compared")
+    a = pairs.select("u", "salt").distinct().join(compared.select(F.col("sid").alias("u"), F.col("keys").alias("a")), "u")
+    both = pairs.join(compared.select(F.col("sid").alias("v"), F.col("keys").alias("b")), "v").join(a, ["u", "salt"])
+    links = E.stored(both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), "links")
+    E.removed(pairs)
+    E.removed(compared)
+    return links
