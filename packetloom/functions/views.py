@@ -24,6 +24,11 @@ def _u16(at) -> str:
     return _n(at, 2)
 
 
+def _high(at) -> str:
+    """The high half of a byte."""
+    return f"shiftright({_u8(at)}, 4)"
+
+
 def _raw(at, size) -> str:
     return f"substring(b, {at} + 1, {size})"
 
@@ -59,10 +64,10 @@ VIEWS: dict[str, str] = {
     + _struct(destination=_raw(0, 6), source=_raw(6, 6), ethertype="w.t", has_vlan="size(w.g) > 0", vlan_depth="least(size(w.g), 255)", outer_vlan_tag="get(w.g, 0)", inner_vlan_tag="get(w.g, 1)", payload=_tail("w.o"))
     + " END)[0]",
     "ipv4": _view(
-        f"{_LEN} >= 20 AND {_u8(0)} >> 4 = 4 AND {_u8(0)} & 15 >= 5 AND {_LEN} >= {_IHL} AND {_u16(2)} >= {_IHL} AND {_u16(2)} <= {_LEN}",
+        f"{_LEN} >= 20 AND {_high(0)} = 4 AND {_u8(0)} & 15 >= 5 AND {_LEN} >= {_IHL} AND {_u16(2)} >= {_IHL} AND {_u16(2)} <= {_LEN}",
         protocol=_u8(9), source=_v4(12), destination=_v4(16), payload=_raw(f"({_IHL})", f"{_u16(2)} - {_IHL}"),
     ),
-    "ipv6": _view(f"{_LEN} >= 40 AND {_u8(0)} >> 4 = 6 AND 40 + {_u16(4)} <= {_LEN}", next_header=_u8(6), source=_raw(8, 16), destination=_raw(24, 16), payload=_raw(40, _u16(4))),
+    "ipv6": _view(f"{_LEN} >= 40 AND {_high(0)} = 6 AND 40 + {_u16(4)} <= {_LEN}", next_header=_u8(6), source=_raw(8, 16), destination=_raw(24, 16), payload=_raw(40, _u16(4))),
     "udp": _view(f"{_LEN} >= 8 AND {_u16(4)} BETWEEN 8 AND {_LEN}", source_port=_u16(0), destination_port=_u16(2), payload=_raw(8, f"{_u16(4)} - 8")),
     "dhcp": _view(
         f"{_LEN} >= 240 AND hex({_raw(236, 4)}) = '63825363'",
@@ -79,7 +84,7 @@ VIEWS: dict[str, str] = {
         f"{_LEN} >= 12",
         transaction_id=_u16(0), flags=_u16(2), is_response=f"{_u16(2)} & 32768 != 0", question_count=_u16(4), answer_count=_u16(6), authority_count=_u16(8), additional_count=_u16(10),
     ),
-    "tcp": _view(f"{_LEN} >= 20 AND {_u8(12)} >> 4 >= 5 AND {_LEN} >= ({_u8(12)} >> 4) * 4", source_port=_u16(0), destination_port=_u16(2), payload=_tail(f"(({_u8(12)} >> 4) * 4)")),
+    "tcp": _view(f"{_LEN} >= 20 AND {_high(12)} >= 5 AND {_LEN} >= {_high(12)} * 4", source_port=_u16(0), destination_port=_u16(2), payload=_tail(f"({_high(12)} * 4)")),
     "icmp": _view(f"{_LEN} >= 4", **_ICMP),
     "icmpv6": _view(f"{_LEN} >= 4", **_ICMP),
     "sll": _view(f"{_LEN} >= 16", packet_type=_u16(0), arphrd_type=_u16(2), address_length=_u16(4), protocol=_u16(14), payload=_tail(16)),

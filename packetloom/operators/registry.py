@@ -66,5 +66,18 @@ class Registry:
         return F.get(F.transform(F.array(F.when(~large, self.best(frame))), chosen), F.lit(0))
 
 
+def decode_error_text(kind: Column, protocol: Column, needed: Column, available: Column) -> Column:
+    """The text of an error of the plug-in path. protocol: of a malformed header or an
+    unsupported protocol; needed: bytes, or the depth of a decode over its limit."""
+    text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    return (
+        F.when(kind == "MalformedHeader", F.concat(F.lit("Malformed header for protocol: "), text(protocol)))
+        .when(kind == "InsufficientBytes", F.concat(F.lit("Insufficient bytes: needed "), text(needed), F.lit(", available "), text(available)))
+        .when(kind == "UnsupportedProtocol", F.concat(F.lit("Unsupported protocol: "), text(protocol)))
+        .when(kind == "DepthLimitExceeded", F.concat(F.lit("Decode depth limit exceeded: "), text(needed)))
+    )
+
+
 def error_text(error: Column) -> Column:
-    return F.when(error["kind"] == "InsufficientBytes", F.concat(F.lit("Insufficient bytes: needed "), error["needed"].cast("string"), F.lit(", available "), error["available"].cast("string")))
+    """Of the error that ``Registry.decode`` gives."""
+    return decode_error_text(error["kind"], F.lit(None).cast("string"), error["needed"], error["available"])

@@ -58,7 +58,7 @@ def can_parse_ipv6(b: Column) -> Column:
 
 
 def is_valid_ipv6(b: Column) -> Column:
-    return _sure((_n(b) >= 40) & (u16(b, 4) + 40 <= _n(b)))
+    return _sure((_n(b) >= 40) & (u16(b, 4) + 40 <= _n(b)) & (bits(u8(b, 0), 4, 4) == 6))
 
 
 def can_parse_icmp(b: Column) -> Column:
@@ -216,6 +216,14 @@ def parse_openvpn(b: Column) -> Column:
     return _outcome(F.struct(u8(b, 0).alias("flags"), u8(b, 1).alias("version")), F.when(_n(b) < 2, "InvalidLength"))
 
 
+def parse_wireguard(b: Column) -> Column:
+    """A handshake initiation: a little-endian type of 1 and 16 bytes. proto_id of other types is
+    255 at most."""
+    kind = u8(b, 0) + u8(b, 1) * 256 + (u8(b, 2) * 65_536 + u8(b, 3).cast("bigint") * 16_777_216)
+    error = F.when(_n(b) < 4, "InvalidLength").when(kind != 1, "UnsupportedProtocol").when(_n(b) < 16, "InvalidLength")
+    return _outcome(F.struct(kind.alias("message_type")), error, F.least(kind, F.lit(255)).cast("int"))
+
+
 def identify_network(b: Column) -> Column:
     """(protocol, error): ipv4 or ipv6 by the first half byte."""
     version = bits(u8(b, 0), 4, 4)

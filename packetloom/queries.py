@@ -480,3 +480,6 @@ def header_views(spark: SparkSession, sf_dir: str) -> DataFrame:
         c("n_nationkey").cast("long").alias("key"), c("v.source_port").cast("long").alias("source_port"), c("v.destination_port").cast("long").alias("destination_port"), F.length("v.payload").cast("long").alias("payload_bytes"),
         c("sound").alias("icmpv6_sound"), names.layer_protocol_name(F.lit(17)).alias("layer_name"),
     )
+
+
+from packetloom import layer_queries  # noqa: E402,F401  adds its queries to QUERIES

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from packetloom.sources.formats import CaptureError, frames
+from packetloom.sources.formats import CaptureError, collect, frames
 
 SCHEMA = "path string, frame_no long, ts_sec long, ts_subsec long, ts_ticks_per_sec decimal(20,0), data binary, error string"
 _ARROW = pa.schema([("path", pa.string()), ("frame_no", pa.int64()), ("ts_sec", pa.int64()), ("ts_subsec", pa.int64()), ("ts_ticks_per_sec", pa.decimal128(20, 0)), ("data", pa.binary()), ("error", pa.string())])
@@ -61,6 +61,23 @@ def explode_captures(files: DataFrame, kind: str | None = None, fail_fast: bool
     return files.select("path", "content").mapInArrow(walk, SCHEMA)
 
 
+def whole_captures(files: DataFrame, kind: str | None = None) -> DataFrame:
+    """(path, frames, error) from (path, content): a row for each file. The first error fails the
+    file and not the job: its frames are NULL."""
+    fields = [pa.field("ts_sec", pa.int64()), pa.field("ts_subsec", pa.int64()), pa.field("data", pa.binary())]
+
+    def read(batches):
+        for batch in batches:
+            for path, raw in zip(batch.column("path"), batch.column("content")):
+                try:
+                    found, error = [{"ts_sec": f.ts_sec, "ts_subsec": f.ts_subsec, "data": f.data} for f in collect(raw.as_py() or b"", kind)], None
+                except CaptureError as e:
+                    found, error = None, e.kind
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([found], pa.list_(pa.struct(fields))), pa.array([error], pa.string())], ["path", "frames", "error"])
+
+    return files.select("path", "content").mapInArrow(read, "path string, frames array<struct<ts_sec: long, ts_subsec: long, data: binary>>, error string")
+
+
 def read_captures(spark: SparkSession, path: str | list[str], kind: str | None = None, fail_fast: bool = False, **options: str) -> DataFrame:
     """Frames of all captures under path. kind: pcap or pcapng only. fail_fast: the first
     error fails the job; else errors are rows, and frames before them stay."""
