@@ -246,15 +246,19 @@ def mdns_underscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(c("o_orderkey").alias("order_key"), F.array_join("udp_hints", ",").alias("hints"), F.get(c("dns.questions"), F.lit(0))["qname"].alias("qname"))
 
 
+#: Keys that make a file, so that none grows with the table.
+FILE_KEYS = 4096
+
+
 def _files(rows: DataFrame, head: Column, record: Column, key: str) -> DataFrame:
-    """(path, content): files of records in order of the key, 16 files."""
-    parts = rows.select((c(key) % 16).alias("file"), F.struct(c(key).alias("k"), F.hex(record).alias("r")).alias("x"))
+    """(path, content): files of records in order of the key, each of FILE_KEYS keys at most."""
+    parts = rows.select(F.floor(c(key) / FILE_KEYS).alias("file"), F.struct(c(key).alias("k"), F.hex(record).alias("r")).alias("x"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["r"]), "")
     return parts.groupBy("file").agg(joined.alias("body")).select(F.concat(F.lit("file"), c("file").cast("string")).alias("path"), F.concat(head, F.unhex("body")).alias("content"))
 
 
 _CAPTURE = """
-SELECT 'file' || (o_orderkey % 16) AS path, CAST(row_number() OVER (PARTITION BY o_orderkey % 16 ORDER BY o_orderkey) - 1 AS BIGINT) AS frame_no,
+SELECT 'file' || (o_orderkey // 4096) AS path, CAST(row_number() OVER (PARTITION BY o_orderkey // 4096 ORDER BY o_orderkey) - 1 AS BIGINT) AS frame_no,
   CAST(epoch(o_orderdate) AS BIGINT) AS ts_sec, CAST({part} AS BIGINT) AS ts_subsec, {address} AS source, CAST(NULL AS VARCHAR) AS error
 FROM orders"""
 
