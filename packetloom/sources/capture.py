@@ -18,18 +18,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from packetloom.sources.formats import CaptureError, collect, frames
+from packetloom.sources.formats import CaptureError, collect, frames, pcap_cuts
 
 SCHEMA = "path string, frame_no long, ts_sec long, ts_subsec long, ts_ticks_per_sec decimal(20,0), data binary, error string"
 _ARROW = pa.schema([("path", pa.string()), ("frame_no", pa.int64()), ("ts_sec", pa.int64()), ("ts_subsec", pa.int64()), ("ts_ticks_per_sec", pa.decimal128(20, 0)), ("data", pa.binary()), ("error", pa.string())])
 BATCH_ROWS, BATCH_BYTES = 8192, 8 << 20
 
 
-def rows_of(path: str, raw: bytes, kind: str | None = None, fail_fast: bool = False) -> Iterator[tuple]:
-    """A row for each frame and for each error, in file order."""
+def rows_of(path: str, raw: bytes, kind: str | None = None, fail_fast: bool = False, first: int = 0) -> Iterator[tuple]:
+    """A row for each frame and for each error, in file order, numbered from ``first``."""
     from decimal import Decimal
 
-    for n, f in enumerate(frames(raw, kind)):
+    for n, f in enumerate(frames(raw, kind), first):
         if isinstance(f, CaptureError):
             if fail_fast:
                 raise ValueError(f"{path}: {f.kind} at frame {n}")
@@ -97,9 +97,23 @@ def with_time(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ts", F.timestamp_micros(F.col("ts_sec") * 1_000_000 + part))
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: A larger pcap file is read by several tasks.
+SPLIT_BYTES = 64 << 20
+
+
+class _Range(InputPartition):
+    """Bytes of a file from start to end, with so many frames before them."""
+
+    def __init__(self, path: str, start: int, end: int, first: int):
+        self.path, self.start, self.end, self.first = path, start, end, first
+
+
+def _ranges(path: str, every: int) -> Iterator[_Range]:
+    size = os.path.getsize(path)
+    with open(path, "rb") as f:
+        cuts = pcap_cuts(f, size, every) if size > every else [(0, 0)]
+    for (start, first), end in zip(cuts, [*(c[0] for c in cuts[1:]), size]):
+        yield _Range(path, start, end, first)
 
 
 def _listed(path: str) -> list[str]:
@@ -112,13 +126,17 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = _listed(options["path"])
         self.kind, self.fail_fast = options.get("kind"), options.get("mode", "").upper() == "FAILFAST"
+        self.every = int(options.get("splitBytes", SPLIT_BYTES))
 
     def partitions(self):
-        return [_File(p) for p in self.paths]
+        return [r for p in self.paths for r in _ranges(p, self.every)]
 
     def read(self, partition):
         with open(partition.path, "rb") as f:
-            yield from _batches(rows_of(partition.path, f.read(), self.kind, self.fail_fast))
+            head = f.read(24) if partition.start else b""  # the file's own header tells the byte order
+            f.seek(partition.start)
+            raw = head + f.read(partition.end - partition.start)
+        yield from _batches(rows_of(partition.path, raw, self.kind, self.fail_fast, partition.first))
 
 
 class _Stream(SimpleDataSourceStreamReader):
@@ -145,7 +163,8 @@ class _Stream(SimpleDataSourceStreamReader):
 
 
 class CaptureDataSource(DataSource):
-    """Options: path; kind (pcap, pcapng); mode (FAILFAST fails at the first error)."""
+    """Options: path; kind (pcap, pcapng); mode (FAILFAST fails at the first error); splitBytes (a
+    larger pcap file is read by several tasks)."""
 
     @classmethod
     def name(cls):

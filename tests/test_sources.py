@@ -81,3 +81,34 @@ def test_registry_limits(spark):
     got = df.select(r.decode(F.col("b")).alias("a"), r.decode(F.col("b"), DecodeConfig(max_packet_bytes=3)).alias("c")).first()
     assert got["a"]["matched"] is None and got["a"]["error"] is None
     assert (got["c"]["error"]["needed"], got["c"]["error"]["available"]) == (4, 3)
+
+
+def test_large_files_are_split(spark, tmp_path):
+    """Frames, numbers and the error at the end are those of one task."""
+    frames = [(i, i, bytes([i % 256]) * (i % 97)) for i in range(500)]
+    (tmp_path / "a.pcap").write_bytes(formats.write_pcap(frames, ">") + b"cut")
+    (tmp_path / "b.pcapng").write_bytes(formats.write_pcapng([(i, b"x" * 40) for i in range(100)]))
+    capture.register(spark)
+    read = lambda every: spark.read.format("capture").option("splitBytes", every).load(str(tmp_path))
+    assert read(4000).rdd.getNumPartitions() > 5 > read(1 << 20).rdd.getNumPartitions()
+    rows = lambda df: sorted((r["path"], r["frame_no"], r["ts_sec"], r["data"], r["error"] or "") for r in df.collect() if r["data"] is not None or r["error"])
+    assert rows(read(4000)) == rows(read(1 << 20)) and len(rows(read(4000))) == 601
+
+
+def test_stream_finds_names_in_any_order(tmp_path):
+    reader = capture._Stream({"path": str(tmp_path)})
+    (tmp_path / "m.pcap").write_bytes(formats.write_pcap([(1, 2, b"late")]))
+    found, at = reader.read(reader.initialOffset())
+    assert [r[5] for r in found] == [b"late"]
+    (tmp_path / "a.pcap").write_bytes(formats.write_pcap([(1, 2, b"earlier name")]))
+    found, after = reader.read(at)
+    assert [r[5] for r in found] == [b"earlier name"] and [r[5] for r in reader.readBetweenOffsets(at, after)] == [b"earlier name"]
+    assert list(reader.read(after)[0]) == []
+
+
+def test_whole_captures_and_dump_offsets(spark):
+    df = spark.createDataFrame([("a", bytearray(formats.write_pcap([(1, 2, b"x")]))), ("b", bytearray(b"\xd4\xc3\xb2\xa1")), ("c", None)], "path string, content binary")
+    got = {r["path"]: (r["frames"] and len(r["frames"]), r["error"]) for r in capture.whole_captures(df).collect()}
+    assert got == {"a": (1, None), "b": (None, "InvalidLength"), "c": (None, "InvalidLength")}
+    dump = spark.range(1).select(validated.hexdump(F.unhex(F.repeat(F.lit("00"), 65_560))).alias("h")).first()["h"].split("\n")
+    assert dump[4095].startswith("fff0   00") and dump[4096].startswith("10000   00")
