@@ -128,9 +128,12 @@ def _stages(application: str, config: ParseConfig) -> tuple[list[tuple[Column, .
 
     # rows
     mpls = c("_mpls")
-    warned = F.array_compact(F.array(
+    fragment = (kind == "ipv4") & (i0.bitwiseAND(0x3FFF) != 0)
+    tunnel = proto.isin(transport.GRE, transport.AH, transport.ESP) | c("_vxlan").isNotNull() | c("_geneve").isNotNull()
+    any_ = ((kind == "ipv4") & cut) | fragment | walk["limited"] | walk["non_initial"] | kind.isin("pppoe", "mpls", "other") | tunnel
+    warned = F.when(any_, F.array_compact(F.array(
         F.when((kind == "ipv4") & cut, warning("Ipv4Truncated", at)),
-        F.when((kind == "ipv4") & (i0.bitwiseAND(0x3FFF) != 0), warning("Ipv4Fragmented", at + 6)),
+        F.when(fragment, warning("Ipv4Fragmented", at + 6)),
         F.when(walk["limited"], warning("Ipv6ExtensionDepthLimit", l4)),
         F.when(walk["non_initial"], warning("Ipv6NonInitialFragment", l4)),
         F.when(kind == "pppoe", warning("PppoeNoPayload", at)),
@@ -142,7 +145,7 @@ def _stages(application: str, config: ParseConfig) -> tuple[list[tuple[Column, .
         F.when(c("_geneve").isNotNull(), warning("GeneveInner", l4)),
         F.when((proto == transport.AH), warning("AhInner", l4)),
         F.when(proto == transport.ESP, warning("EspInner", l4)),
-    ))
+    )))
     tcp = good & (proto == transport.TCP)
     zero = F.lit(bytearray(6))
     frame = F.struct(
