@@ -346,15 +346,38 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def _spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of int values, by which a shuffle deals them (Murmur3 of four bytes)."""
+    turned = lambda v, n: (v << np.uint32(n)) | (v >> np.uint32(32 - n))
+    k = turned(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = (turned(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def labels(n: int, tasks: int) -> np.ndarray:
+    """n numbers that a shuffle by them deals evenly to so many tasks, n / tasks to each."""
+    many = 8 * n + 64
+    while True:
+        part = _spark_hash(np.arange(many)).astype(np.int64) % tasks
+        order = np.argsort(part, kind="stable")
+        nth = np.arange(many) - np.searchsorted(part[order], part[order])
+        if np.bincount(part, minlength=tasks).min() * tasks >= n + tasks or many > 1 << 26:
+            # the first of each task, then the second of each ...
+            return order[np.lexsort((part[order], nth))][:n].astype(np.int32)
+        many *= 2
+
+
 @dataclass(frozen=True)
 class Dealt:
-    """Rows with the chunk of each, the number of chunks, and of ranges of keys."""
+    """Rows with the chunk of each, and the numbers that name chunks (and ranges of keys)."""
 
     rows: DataFrame
-    n: int
+    labels: np.ndarray
 
     def with_rows(self, rows: DataFrame) -> Dealt:
-        return Dealt(rows, self.n)
+        return Dealt(rows, self.labels)
 
 
 def text_size(df: DataFrame) -> int:
@@ -366,8 +389,10 @@ def text_size(df: DataFrame) -> int:
 def deal(df: DataFrame, key: str = "doc_id") -> Dealt:
     """df with the chunk of each row. Chunks hold about CHUNK_BYTES at most (and are as many as
     partitions at least), evenly filled whatever the ids; all rows of an id share a chunk."""
-    n = max(partitions(df.sparkSession), -(-text_size(df) // CHUNK_BYTES))
-    return Dealt(df.withColumn("chunk", F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(n)).cast("int")), n)
+    tasks = partitions(df.sparkSession)
+    names = labels(max(tasks, -(-text_size(df) // CHUNK_BYTES)), tasks)
+    known = F.split(F.lit(",".join(map(str, names.tolist()))), ",").cast("array<int>")  # folded once
+    return Dealt(df.withColumn("chunk", F.get(known, F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(len(names))).cast("int"))), names)
 
 
 MESSAGE, REPLY = "bucket int, chunk int, blob binary", "chunk int, blob binary"
@@ -385,13 +410,14 @@ def ask(chunks: Dealt, others: DataFrame | None, emit: Callable, answer: Callabl
     in a range, sorted by key, with "chunk" beside them, and gives the columns that go
     back to their chunks.
     """
-    n = chunks.n
+    names = chunks.labels
+    n = len(names)
 
     def messages(chunk: int, columns: dict[str, np.ndarray]) -> pa.Table:
         cut = [0, *np.searchsorted(columns["key"], _bounds(n)).tolist(), len(columns["key"])]
         full = [b for b in range(n) if cut[b] < cut[b + 1]]
         return pa.table({
-            "bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int32()),
+            "bucket": pa.array(names[full], pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int32()),
             "blob": pa.array([pack({k: v[cut[b] : cut[b + 1]] for k, v in columns.items()}) for b in full], pa.binary()),
         })
 
