@@ -8,9 +8,12 @@ have one fixed order, frequent ones last; two sets that are similar enough share
 first n - ceil(0.8 n) + 1 of each, so a document is dealt to those only. Within a bucket,
 sizes and places bound what two sets can share and discard a pair; then the pivot distance
 table does; the survivors are verified on whole sets. A bucket of more than ``hot`` sets
-first compares each with one hub; the pairs that those links leave in different components
-are compared after it, so a group of thousands of near copies makes no pair for each two of
-them and still none is skipped.
+compares each with one hub at first, then each that this leaves apart with the nearest set
+of another component, and at last all pairs of different components, so a group of thousands
+of near copies makes no pair for each two of them and still none is skipped. Nearness, and
+what cannot be similar any more, is told there by parity marks: each of their bits says
+whether an odd number of a set's shingles fall there, so no two marks differ in more bits
+than their sets in shingles.
 
 Rows: of each component the row with the smallest doc_id (null last, ties by a hash of the
 text; of equal rows any one), all columns. A text of fewer words than a shingle is one
@@ -32,6 +35,8 @@ from packetloom.llm._graph import components
 SIZE, RADIUS = 5, 24
 #: A bucket of more sets is compared with hubs first.
 HOT_BUCKET = 8
+#: Bits of a parity mark, and rounds of nearest sets at most.
+MARK, ROUNDS = 512, 3
 #: Shingles that are put last in the order, at most; any choice gives the same links.
 FREQUENT = 100_000
 PAIRS = "u long, v long, key long, n int, at int"
@@ -79,6 +84,13 @@ def _array(key: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(key.view(np.int64)))
 
 
+def _marks(key: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The parity mark of each set, as bytes."""
+    at = np.repeat(np.arange(len(n)), n) * MARK + (key % np.uint64(MARK)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=len(n) * MARK) & 1).astype(np.uint8)).tobytes()
+    return pa.array([odd[i * MARK // 8 : (i + 1) * MARK // 8] for i in range(len(n))], pa.binary())
+
+
 def _close(n: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether sets x and y, which share the item at these places, can share 4/9 of both sizes."""
     most = np.minimum(at[x], at[y]) + 1 + np.minimum(n[x] - at[x], n[y] - at[y]) - 1
@@ -108,38 +120,98 @@ def _hubs(run: np.ndarray, n: np.ndarray) -> np.ndarray:
     return hub
 
 
-def _scan(hot: int | None):
-    """Pairs of each bucket; with ``hot``, of larger ones the pairs with hubs and the members."""
+def _apart(run: np.ndarray, n: np.ndarray, at: np.ndarray, part: np.ndarray, fp: np.ndarray, mark: np.ndarray, nearest: bool):
+    """Index pairs of a run of different parts that can be similar: for each item outside the
+    run's commonest part all of them, or the nearest one. So the work is their number times
+    the run's and not its square."""
+    first = E.grouped(run)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(run)]):
+        _, of, many = np.unique(part[a:b], return_inverse=True, return_counts=True)
+        few = np.flatnonzero(of != np.argmax(many))
+        is_few = np.zeros(b - a, bool)
+        is_few[few] = True
+        left, right = [], []
+        for i in few.tolist():
+            # sizes rise within a run
+            lo, hi = np.searchsorted(5 * n[a:b], 4 * n[a + i]), np.searchsorted(4 * n[a:b], 5 * n[a + i], "right")
+            other = np.arange(lo, hi)
+            other = other[(of[lo:hi] != of[i]) & (nearest | ~is_few[lo:hi] | (other > i))] + a
+            mine = np.full(len(other), a + i)
+            other = other[_close(n, at, mine, other)]
+            far = np.bitwise_count(mark[other] ^ mark[a + i]).sum(axis=1, dtype=np.int64)
+            ok = 9 * far <= n[other] + n[a + i]
+            other, far = other[ok], far[ok]
+            if nearest and len(other):
+                other = other[np.argmin(far)][None]
+            left.append(np.full(len(other), a + i))
+            right.append(other)
+        x, y = np.concatenate(left), np.concatenate(right)
+        ok = simhash.near(fp[x], fp[y], RADIUS)
+        if ok.any():
+            yield x[ok], y[ok]
+
+
+def _compared(nearest: bool):
+    """(u, v) and how far apart their marks are, of each bucket's pairs of different parts."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("far", pa.int32())])
+
+    def found(key, sid, place, part, fp, mark):
+        first = E.grouped(key)
+        mixed = np.maximum.reduceat(part, first) != np.minimum.reduceat(part, first)
+        some = np.repeat(mixed, np.diff(np.append(first, len(key))))
+        run, sid, place, part, fp, mark = (x[some] for x in (E.run_of(first, len(key)), sid, place, part, fp, mark))
+        for x, y in _apart(run, place >> 32, place & 0xFFFFFFFF, part, fp.view(np.uint64), mark, nearest):
+            far = np.bitwise_count(mark[x] ^ mark[y]).sum(axis=1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(sid[x]), pa.array(sid[y]), pa.array(far)], schema=schema)
+
+    def scan(batches):
+        rest = None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("key", "sid", "place", "part", "fp")]
+            columns.append(np.frombuffer(b"".join(batch.column("mark").to_pylist()), np.uint64).reshape(-1, MARK // 64))
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns)]
+            cut = E.grouped(columns[0])[-1] if len(columns[0]) else 0  # the last key may go on
+            rest = [c[cut:] for c in columns]
+            if cut:
+                yield from found(*(c[:cut] for c in columns))
+        if rest is not None and len(rest[0]):
+            yield from found(*rest)
+
+    return scan
+
+
+def _scan(hot: int):
+    """Pairs of each bucket; of those of more than ``hot`` sets the pairs with hubs (n is 1 there)
+    and the members (with a key)."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
 
     def out(u, v, key=None, n=None, at=None):
         rest = [pa.nulls(len(u), t) if x is None else pa.array(x).cast(t) for x, t in ((key, pa.int64()), (n, pa.int32()), (at, pa.int32()))]
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *rest], schema=schema)
 
-    def found(key, sid, place, part):
+    def found(key, sid, place):
         n, at = place >> 32, place & 0xFFFFFFFF
         first = E.grouped(key)
         size = np.diff(np.append(first, len(key)))
         many = np.repeat(size, size)
-        small = many > 1 if hot is None else (many > 1) & (many <= hot)
+        small = (many > 1) & (many <= hot)
         run, ids = E.run_of(first, len(key))[small], sid[small]
-        for x, y in _within(run, n[small], at[small], part[small]):
+        for x, y in _within(run, n[small], at[small], ids):
             yield out(ids[x], ids[y])
-        if hot is not None and (many > hot).any():
+        if (many > hot).any():
             large = many > hot
             run, ids, k, n, at = E.run_of(first, len(key))[large], sid[large], key[large], n[large], at[large]
             hub = _hubs(run, n)
             some = np.flatnonzero(hub != np.arange(len(hub)))
             some = some[_close(n, at, hub[some], some)]
-            yield out(ids[hub[some]], ids[some])
+            yield out(ids[hub[some]], ids[some], None, np.ones(len(some)))
             yield out(ids, ids, k, n, at)
 
     def scan(batches):
         rest = None
         for batch in batches:
             columns = [batch.column(c).to_numpy() for c in batch.schema.names]
-            if len(columns) == 3:  # no parts yet: each set is its own
-                columns.append(columns[1])
             if rest is not None:
                 columns = [np.concatenate(x) for x in zip(rest, columns)]
             cut = E.grouped(columns[0])[-1] if len(columns[0]) else 0  # the last key may go on
@@ -152,10 +224,10 @@ def _scan(hot: int | None):
     return scan
 
 
-def _bucketed(rows: DataFrame, hot: int | None, *part: str) -> DataFrame:
-    """rows: key, sid and, as one number, n and at; by key and size."""
-    rows = rows.select("key", "sid", "place", *part).repartition(E.partitions(rows.sparkSession), "key")
-    return rows.sortWithinPartitions("key", "place", "sid").mapInArrow(_scan(hot), PAIRS)
+def _bucketed(rows: DataFrame, *more: str) -> DataFrame:
+    """rows: key, sid and, as one number, n and at; whole buckets, by key and size."""
+    rows = rows.select("key", "sid", "place", *more).repartition(E.partitions(rows.sparkSession), "key")
+    return rows.sortWithinPartitions("key", "place", "sid")
 
 
 def one_of_each(documents: DataFrame, size: int = SIZE, hot: int = HOT_BUCKET) -> DataFrame:
@@ -177,24 +249,37 @@ def one_of_each(documents: DataFrame, size: int = SIZE, hot: int = HOT_BUCKET) -
             head = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
             place = np.arange(len(keys)) - np.repeat(cut[:-1], n)
             first, fp = keys[place < np.repeat(head, n)], simhash.of_sets(keys, cut)
-            yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_t"), pa.array(sid.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), _array(first, head)], ["_d", "_t", "sid", "n", "fp", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_t"), pa.array(sid.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), _marks(keys, n), _array(first, head)], ["_d", "_t", "sid", "n", "fp", "mark", "head"])
 
-    found = E.stored(texts.mapInArrow(scan, "_d long, _t long, sid long, n int, fp long, head array<long>"), "shingles")
+    found = E.stored(texts.mapInArrow(scan, "_d long, _t long, sid long, n int, fp long, mark binary, head array<long>"), "shingles")
     # equal sets are one from here on
-    distinct = E.stored(found.groupBy("sid").agg(F.min(F.struct("_d", "_t")).alias("first"), F.min("n").alias("n"), F.first("fp").alias("fp"), F.first("head").alias("head")), "sets")
+    distinct = E.stored(found.groupBy("sid").agg(F.min(F.struct("_d", "_t")).alias("first"), F.min("n").alias("n"), F.first("fp").alias("fp"), F.first("mark").alias("mark"), F.first("head").alias("head")), "sets")
     place = F.shiftleft(F.col("n").cast("long"), 32)
     dealt = distinct.select("sid", "n", F.posexplode("head").alias("at", "key")).select("key", "sid", place.bitwiseOR(F.col("at").cast("long")).alias("place"))
-    passed = E.stored(_bucketed(dealt, hot), "pairs")
+    passed = E.stored(_bucketed(dealt).mapInArrow(_scan(hot), PAIRS), "pairs")
     sets = distinct.select("sid", "fp", "first")
-    links = _verified(texts, sets, passed.filter("key IS NULL").select("u", "v").distinct(), size)
+    # of the hubs that a set meets, the one it shares most buckets with; later pairs cover the rest
+    hubs = passed.filter("key IS NULL AND n IS NOT NULL").groupBy("u", "v").agg(F.count("*").alias("n")).groupBy("v").agg(F.max(F.struct("n", "u")).alias("h")).select("h.u", "v")
+    links = _verified(texts, sets, passed.filter("key IS NULL AND n IS NULL").select("u", "v").union(hubs).distinct(), size)
     roots = components(links)
     members = passed.filter("key IS NOT NULL").select("key", F.col("u").alias("sid"), place.bitwiseOR(F.col("at").cast("long")).alias("place"))
     if not members.isEmpty():
-        parts = members.join(roots.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("part", F.coalesce("root", "sid"))
-        more = E.stored(_bucketed(parts, None, "part").select("u", "v").distinct(), "pairs")
-        E.removed(passed)
-        roots = components(links.union(_verified(texts, sets, more, size)))
-        E.removed(more)
+        members = E.stored(members.join(distinct.select("sid", "fp", "mark"), "sid"), "members")
+        turn, joined = 0, True
+        while turn <= ROUNDS:
+            nearest = joined and turn < ROUNDS  # at last, or where no set has a near one: all pairs
+            turn = turn + 1 if nearest else ROUNDS + 1
+            parts = members.join(roots.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("part", F.coalesce("root", "sid"))
+            more = _bucketed(parts, "part", "fp", "mark").mapInArrow(_compared(nearest), "u long, v long, far int")
+            if nearest:
+                more = more.groupBy("u").agg(F.min(F.struct("far", "v")).alias("near")).select("u", "near.v")
+            new = _verified(texts, sets, more.distinct(), size)
+            joined = not new.isEmpty()
+            if joined:
+                links = links.union(new)
+                roots = components(links)
+        E.removed(members)
+    E.removed(passed)
     # rows that another row stands for: of its component, of its set, or its equal
     first = sets.join(roots.withColumnRenamed("vertex", "sid"), "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("kept"))
     named = roots.withColumnRenamed("vertex", "sid").join(first, "root").select("sid", "kept")
