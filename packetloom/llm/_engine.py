@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -386,13 +386,22 @@ def text_size(df: DataFrame) -> int:
     return said if said < 1 << 56 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
+def chunks_of(df: DataFrame) -> int:
+    """Into how many chunks df's texts go: each task has one at least."""
+    return max(partitions(df.sparkSession), -(-text_size(df) // CHUNK_BYTES))
+
+
+def named(names: np.ndarray, number: Column) -> Column:
+    """The name of a numbered chunk."""
+    known = F.split(F.lit(",".join(map(str, names.tolist()))), ",").cast("array<int>")  # folded once
+    return F.get(known, number.cast("int"))
+
+
 def deal(df: DataFrame, key: str = "doc_id") -> Dealt:
     """df with the chunk of each row. Chunks hold about CHUNK_BYTES at most (and are as many as
     partitions at least), evenly filled whatever the ids; all rows of an id share a chunk."""
-    tasks = partitions(df.sparkSession)
-    names = labels(max(tasks, -(-text_size(df) // CHUNK_BYTES)), tasks)
-    known = F.split(F.lit(",".join(map(str, names.tolist()))), ",").cast("array<int>")  # folded once
-    return Dealt(df.withColumn("chunk", F.get(known, F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(len(names))).cast("int"))), names)
+    names = labels(chunks_of(df), partitions(df.sparkSession))
+    return Dealt(df.withColumn("chunk", named(names, F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(len(names))))), names)
 
 
 MESSAGE, REPLY = "bucket int, chunk int, blob binary", "chunk int, blob binary"

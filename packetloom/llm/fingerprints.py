@@ -85,10 +85,10 @@ def with_next(documents: DataFrame, *carried: Column) -> DataFrame:
     """Each document beside the next one in descending doc_id, the last beside the first:
     doc_id, text, carried, next (text and carried as a struct). One shuffle of the texts.
 
-    Ranges of ids end at ids that exist; the row that ends a range is copied to the range
-    above, whose last row it follows.
+    Ranges of ids end at ids that exist and hold bounded bytes of text; the row that ends a
+    range is copied to the range above, whose last row it follows.
     """
-    n = E.partitions(documents.sparkSession)
+    n = E.chunks_of(documents.select("text"))
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shares = [i / n for i in range(1, n)] or [0.5]
     found = docs.agg(F.percentile_approx("_id", shares, F.lit(max(10_000, 20 * n))), F.max("_id")).first()
@@ -103,7 +103,8 @@ def with_next(documents: DataFrame, *carried: Column) -> DataFrame:
     ending = F.get(array, F.col("_range")) == F.col("_id")
     above = F.when(ending, F.array(F.when(F.col("_id") == last, F.lit(0)).otherwise(F.col("_range") + 1)))
     docs = docs.select("*", *carried).withColumn("_copy", F.explode(F.concat(F.array(F.lit(None).cast("int")), F.coalesce(above, F.array().cast("array<int>")))))
-    docs = docs.withColumn("_in", F.coalesce("_copy", "_range")).withColumn("_guard", F.col("_copy").isNotNull())
+    names = E.labels(len(ends), E.partitions(documents.sparkSession))
+    docs = docs.withColumn("_in", E.named(names, F.coalesce("_copy", "_range"))).withColumn("_guard", F.col("_copy").isNotNull())
     names = [c for c in docs.columns if not c.startswith("_") and c != "doc_id"]
     order = Window.partitionBy("_in").orderBy("_guard", F.desc("_id"), F.desc("text"))
     return docs.withColumn("next", F.lead(F.struct(*names)).over(order)).filter(~F.col("_guard")).select("doc_id", *names, "next")
