@@ -92,7 +92,7 @@ def substring_dedup(documents: DataFrame, window: int = 13, texts: bool = False)
         low, high = (f.reduceat(np.concatenate(x)[order], first) for f, x in ((np.minimum, lows), (np.maximum, highs)))
         probe = np.maximum.reduceat(np.concatenate(kinds)[order], first)
         none = low > high  # a probe only: no id travels
-        return {"key": key[first], "low": np.where(none, -1, low), "high": np.where(none, -1, high - low), "probe": probe.astype(np.uint8) | np.where(none, 2, 0).astype(np.uint8)}
+        return {"key": key[first], "low": np.where(none, 0, low), "high": np.where(none, 0, high - low), "probe": probe.astype(np.uint8) | np.where(none, 2, 0).astype(np.uint8)}
 
     def met(c):
         first = E.grouped(c["key"])
