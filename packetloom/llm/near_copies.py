@@ -314,6 +314,8 @@ def _verified(texts: DataFrame, sets: DataFrame, pairs: DataFrame, size: int) ->
     pairs = pairs.join(u, "u").join(v, "v").select("u", "v", "u_fp", "v_fp").mapInArrow(prune, "u long, v long")
     # a set of very many pairs is sent to as many places as there are partitions
     pairs = E.stored(pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(E.partitions(texts.sparkSession))).cast("int")), "near")
+    if pairs.isEmpty():
+        return pairs.select("u", "v")
     some = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(sets, "sid").select("first._d", "first._t")
     compared = E.parted(texts, some, "_d", "_t")[0].join(some, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"])
     compared = E.stored(compared.select("text").mapInArrow(scan, "sid long, keys array<long>"), "compared")
