@@ -32,6 +32,8 @@ U64 = np.uint64
 #: Bytes of text that NumPy works on at once, so that its arrays stay in the processor's cache;
 #: a longer document is worked on alone.
 SLICE_BYTES = 1 << 18
+#: Bytes of a batch that ``portions`` hands out at once, whatever the batch's size.
+PORTION_BYTES = 4 << 20
 #: Bytes of text that make a chunk (and a range of keys), so that neither grows with the corpus.
 CHUNK_BYTES = 48 << 20
 
@@ -163,6 +165,15 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def portions(batches) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches in order, about PORTION_BYTES at a time, so that what a scan makes of
+    them does not grow with a batch. Rows are not copied."""
+    for batch in batches:
+        step = max(1, len(batch) * PORTION_BYTES // max(1, batch.nbytes))
+        for first in range(0, len(batch), step):
+            yield batch.slice(first, step)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> U64(27))) * U64(0x94D049BB133111EB)

@@ -174,8 +174,8 @@ def _once(held):
     return value
 
 
-def _searched(batches, blocks: list):
-    """(batch, its _Hits) of all batches, one block's tables at a time."""
+def _searched(batches, blocks: list, text: str | int = "text"):
+    """(batch, its _Hits) of all batches, one block's tables at a time; text: its column."""
     alone = blocks[0].value if len(blocks) == 1 else None
     gathered: list[tuple[pa.RecordBatch, _Hits]] = []
 
@@ -189,7 +189,7 @@ def _searched(batches, blocks: list):
 
     size = 0
     for batch in batches:
-        data, offsets = E.text_bytes(batch.column("text"))
+        data, offsets = E.text_bytes(batch.column(text))
         gathered.append((batch, _Hits(data, offsets)))
         size += len(data)
         if alone is not None or size >= GATHERED_BYTES:
@@ -252,10 +252,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """documents, all columns, without rows that hold a window of the benchmark."""
     blocks = _blocks(documents, benchmark, window, block_bytes)
-    carried = documents.select("text", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+    # each text goes to Python and back once; "text" itself before a name of other case
+    at = min((c != "text", i) for i, c in enumerate(documents.columns) if c.lower() == "text")[1]
 
     def keep(batches):
-        for batch, hits in _searched(batches, blocks):
+        for batch, hits in _searched(E.portions(batches), blocks, at):
             yield batch.filter(pa.array([not x for x in hits.items], pa.bool_()))
 
-    return carried.mapInArrow(keep, carried.schema).select("_row.*")
+    return documents.mapInArrow(keep, documents.schema)

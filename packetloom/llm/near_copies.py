@@ -236,7 +236,7 @@ def one_of_each(documents: DataFrame, size: int = SIZE, hot: int = HOT_BUCKET) -
     texts = documents.select(*key, "text")
 
     def sample(batches):
-        for batch in batches:
+        for batch in E.portions(batches):
             yield pa.RecordBatch.from_arrays([pa.array(_sets(batch, size, np.empty(0, np.uint64))[0].view(np.int64))], ["key"])
 
     often = texts.filter("pmod(xxhash64(_t, 5), 16) = 0").dropDuplicates(["_t"]).mapInArrow(sample, "key long").groupBy("key").count()
@@ -244,7 +244,7 @@ def one_of_each(documents: DataFrame, size: int = SIZE, hot: int = HOT_BUCKET) -
     spread = documents.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64)))
 
     def scan(batches):
-        for batch in batches:
+        for batch in E.portions(batches):
             keys, n, cut, sid = _sets(batch, size, spread.value)
             head = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
             place = np.arange(len(keys)) - np.repeat(cut[:-1], n)
@@ -306,7 +306,7 @@ def _verified(texts: DataFrame, sets: DataFrame, pairs: DataFrame, size: int) ->
             yield batch.filter(pa.array(simhash.near(x, y, RADIUS))).select(["u", "v"])
 
     def scan(batches):
-        for batch in batches:
+        for batch in E.portions(batches):
             keys, n, _, sid = _sets(batch, size, np.empty(0, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(sid.view(np.int64)), _array(keys, n)], ["sid", "keys"])
 
