@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from packetloom.functions.bytes import raw, u16
+from packetloom.functions.bytes import let, raw, u16
 from packetloom.operators import validated as V
 
 
@@ -56,11 +56,6 @@ PROTOCOLS = {
 }
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _payload(value: Column, error: Column) -> Column:
     return F.struct(value.alias("payload"), error.alias("error"))
 
@@ -69,7 +64,7 @@ def datalink(frame: Column) -> Column:
     """Behind an Ethernet header; an ARP message must be one."""
     rest = raw(frame, 14, F.length(frame))
     arp = F.when(u16(frame, 12) == 0x0806, V.parse_arp(rest)["error"]["kind"])
-    return _let(arp, lambda e: _payload(F.when(F.length(frame) >= 14, rest), F.when(F.length(frame) < 14, "InvalidLength").otherwise(e)))
+    return let(arp, lambda e: _payload(F.when(F.length(frame) >= 14, rest), F.when(F.length(frame) < 14, "InvalidLength").otherwise(e)))
 
 
 def network(packet: Column) -> Column:
@@ -81,10 +76,10 @@ def network(packet: Column) -> Column:
         size = v6["value"]["payload_length"]
         error = F.coalesce(x["kind"]["error"]["kind"], v4["error"]["kind"], v6["error"]["kind"], F.when(total < ihl, "InvalidLength"), F.when(size + 40 > F.length(packet), "InvalidLength"))
         body = F.when(v4["value"].isNotNull(), raw(packet, ihl, total - ihl)).otherwise(raw(packet, 40, size))
-        return _let(error, lambda e: _payload(F.when(e.isNull(), body), e))
+        return let(error, lambda e: _payload(F.when(e.isNull(), body), e))
 
     kind = V.identify_network(packet)
-    return _let(kind, lambda k: _let(F.struct(k.alias("kind"), F.when(k["value"] == "ipv4", V.parse_ipv4(packet)).alias("v4"), F.when(k["value"] == "ipv6", V.parse_ipv6(packet)).alias("v6")), cut))
+    return let(kind, lambda k: let(F.struct(k.alias("kind"), F.when(k["value"] == "ipv4", V.parse_ipv4(packet)).alias("v4"), F.when(k["value"] == "ipv6", V.parse_ipv6(packet)).alias("v6")), cut))
 
 
 def transport(segment: Column) -> Column:
@@ -98,7 +93,7 @@ LAYERS = {p.name: p for p in (LayerProcessor("datalink", datalink), LayerProcess
 def application(frame: Column, destination_port: Column) -> Column:
     """(kind, dns): dns where the port is 53 and the whole frame reads as a message, else unknown."""
     message = F.when((destination_port == 53) & V.can_parse_dns(frame), V.parse_dns(frame)["value"])
-    return _let(message, lambda m: F.struct(F.when(m.isNotNull(), "dns").otherwise("unknown").alias("kind"), m.alias("dns")))
+    return let(message, lambda m: F.struct(F.when(m.isNotNull(), "dns").otherwise("unknown").alias("kind"), m.alias("dns")))
 
 
 def parse_layers(frame: Column) -> Column:
@@ -119,17 +114,17 @@ def parse_layers(frame: Column) -> Column:
 
         inside = c["network_offset"] < F.length(frame)
         found = lambda h: F.struct(h.alias("header"), F.when(inside & h.isNull(), network(rest)).alias("other"))
-        return _let(_let(F.when(inside, whole), found), passed)
+        return let(let(F.when(inside, whole), found), passed)
 
     def with_transport(x: Column) -> Column:
-        return _let(V.transport_by_shape(x["segment"]), lambda t: F.struct(
+        return let(V.transport_by_shape(x["segment"]), lambda t: F.struct(
             x["capture"]["format"].alias("format"), x["capture"]["network_offset"].alias("network_offset"), x["header"].alias("network_ipv4"), t.alias("transport"),
             F.when(t.isNotNull(), application(frame, F.coalesce(t["tcp"]["destination_port"], t["udp"]["destination_port"]))).alias("application"), F.lit(None).cast("string").alias("error"),
         ))
 
     def checked(c: Column) -> Column:
-        parsed = _let(with_network(c), with_transport)
+        parsed = let(with_network(c), with_transport)
         names = ("format", "network_offset", "network_ipv4", "transport", "application")
-        return _let(F.when(c.isNotNull(), parsed), lambda p: F.struct(*[p[n].alias(n) for n in names], F.when(p.isNull(), "MalformedPacket").alias("error")))
+        return let(F.when(c.isNotNull(), parsed), lambda p: F.struct(*[p[n].alias(n) for n in names], F.when(p.isNull(), "MalformedPacket").alias("error")))
 
-    return _let(V.capture_kind(frame), checked)
+    return let(V.capture_kind(frame), checked)

@@ -91,7 +91,8 @@ def mpls(entries: list[tuple[Column, int, int]]) -> Column:
 
 
 def with_checksum(message: Column, at: int) -> Column:
-    """The message with its one's complement checksum in the two bytes (zero so far) at ``at``."""
+    """The message with its one's complement checksum in the two bytes (zero so far) at ``at``.
+    It should be a column of its own, as it is read several times."""
     from packetloom.functions.checksum import checksum
 
     return F.concat(F.substring(message, F.lit(1), F.lit(at)), num(checksum(message), 2), F.substring(message, F.lit(at + 3), F.length(message)))
