@@ -10,7 +10,7 @@ from packetloom.functions import names, views
 from packetloom.operators import layers, registry, validated
 from packetloom.plans.config import MODES, DecodeConfig, ParseConfig
 from packetloom.plans.decode import decode
-from packetloom.queries import _ip, _read, query
+from packetloom.queries import _ip, _read, dealt, query
 from packetloom.sources import capture
 from packetloom.sources import synth as S
 
@@ -99,13 +99,13 @@ def layer_parses(spark: SparkSession, sf_dir: str) -> DataFrame:
     arp = lambda kind: S.join(S.hexed("0001 0800"), S.hexed(kind), S.hexed("0002 020000000002"), S.address(key), S.hexed("000000000000 0a000001"))
     ip4 = lambda first: S.join(S.hexed(first), S.hexed("00 0019 0001 0000 40 01 0000"), S.address(key), S.hexed("0a000002 01020304 ff"))
     ip6 = lambda version: S.join(S.num(F.lit(version << 28).cast("bigint") + key % 1048576, 4), S.hexed("0000 3b40"), S.zeros(32))
-    echo = S.with_checksum(S.join(S.hexed("08000000"), port, S.hexed("0001")), 2)
+    echo = S.with_checksum(c("echo"), 2)
     tcp = lambda words: S.join(port, S.hexed("0050 00000001 00000002"), S.hexed(words), S.hexed("10 0400 0000 0000"))
     udp = lambda size: S.join(port, S.hexed("0035"), S.hexed(size), S.hexed("0000 61"))
     label = F.concat(F.lit("p"), key.cast("string"))
     dns = lambda x: S.dns_query(key % 65536, [x, F.lit("test")])
     guard = S.join(_case(k, *[S.hexed(h) for h in ("01000000", "02000000", "01000000", "00010000")]), S.zeros(12))
-    rows = _read(spark, sf_dir, "part").select(
+    rows = dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", S.join(S.hexed("08000000"), port, S.hexed("0001")).alias("echo")).select(
         "p_partkey", of(arp("0604"), arp("0804"), 27).alias("a"), of(ip4("46"), ip4("44"), 24).alias("i4"), of(ip6(6), ip6(4), 39).alias("i6"), of(echo, S.join(S.hexed("08ff0000"), port, S.hexed("0001")), 7).alias("i"),
         of(tcp("50"), tcp("40"), 19).alias("t"), of(udp("0009"), udp("0007"), 8).alias("u"), of(dns(label), dns(F.concat(F.lit("_"), label)), 15).alias("d"), F.when(cut, S.hexed("38")).otherwise(S.hexed("3801")).alias("o"),
         F.when(cut, F.substring(guard, F.lit(1), F.lit(15))).otherwise(guard).alias("w"),
@@ -133,7 +133,7 @@ def igmp_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = S.address(key), S.hexed("0a000002")
     report = S.join(S.hexed("22000000 00000002 01010002 e0000001"), one, two, S.hexed("aabbccdd 02000001 e0000002 0a000003"))
     m = _case(k, S.join(head, S.hexed("0000")), S.join(head, S.hexed("0001"), one), S.join(head, S.hexed("0002"), one, two), report, S.join(head, S.hexed("0003"), one))
-    rows = _read(spark, sf_dir, "customer").select("c_custkey", m.alias("bare")).select("c_custkey", S.with_checksum(c("bare"), 2).alias("m"))
+    rows = dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", m.alias("bare")).select("c_custkey", S.with_checksum(c("bare"), 2).alias("m"))
     x = rows.select("c_custkey", validated.parse_igmp(c("m")).alias("x")).select("c_custkey", "x", c("x.value").alias("v"))
     of_records = F.array_join(F.transform("v.group_records", lambda r: F.array_join(r["source_addresses"], ",")), "|")
     return x.select(
@@ -173,7 +173,7 @@ def all_views(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sll2": (S.join(S.hexed("0800 0000"), four, S.hexed("0001 04 06 0200000000020000 00")), 20),
         "ethernet": (S.join(S.zeros(12), S.hexed("0800")), 14),
     }
-    rows = _read(spark, sf_dir, "supplier").select("s_suppkey", *[b.alias(f"b_{n}") for n, (b, _) in heads.items()], *[F.substring(b, F.lit(1), F.lit(least - 1)).alias(f"s_{n}") for n, (b, least) in heads.items()])
+    rows = dealt(spark, sf_dir, "supplier", "s_suppkey").select("s_suppkey", *[b.alias(f"b_{n}") for n, (b, _) in heads.items()], *[F.substring(b, F.lit(1), F.lit(least - 1)).alias(f"s_{n}") for n, (b, least) in heads.items()])
     v = rows.select("s_suppkey", *[views.view(n, f"b_{n}").alias(n) for n in heads], sum((views.view(n, f"s_{n}").isNull().cast("int") for n in heads), F.lit(0)).cast("long").alias("cut_off"))
     n = lambda x: c(x).cast("long")
     size = lambda x: F.length(x).cast("long")
@@ -200,7 +200,7 @@ def more_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     chains = [S.join(S.hexed(h), datagram) for h in ("1100 0001 00000001", "1100 0008 00000001", "1100 000000000000", "1102 0401" + "00" * 20, "1101 0000 0000000100000002", "11ff 000000000000")]
     v6 = _case(k, *[S.ethernet(0x86DD, S.ipv6(n, chain)) for n, chain in zip(kinds, chains)])
     v4 = S.ethernet(0x0800, S.join(S.hexed("4600 0021 0001 0000 40 11 0000 0a000001 0a000002 01020304"), datagram))
-    d = decode(_read(spark, sf_dir, "customer").withColumn("data", F.when(k == 6, v4).otherwise(v6)))
+    d = decode(dealt(spark, sf_dir, "customer", "c_custkey").withColumn("data", F.when(k == 6, v4).otherwise(v6)))
     said = F.array_join(F.transform("warnings", lambda w: F.concat(w["subcode"], F.lit("@"), w["offset"].cast("string"))), ",")
     return d.select(c("c_custkey").alias("key"), names.transport_protocol_name(c("transport")).alias("transport"), said.alias("warnings"), c("error.kind").alias("error"), F.hex("ipv4.options").alias("options"))
 
@@ -247,7 +247,7 @@ def plug_in_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda n: (lambda b: registry.event(n, F.lit(0), F.length(b)))
     held = registry.Registry().register(registry.Dissector("short", lambda b: F.when(F.length(b) > 0, F.lit(1)), lambda b: F.array(one("short")(b))))
     held.register(registry.Dissector("long", lambda b: F.when(F.length(b) >= 32, F.lit(2)), lambda b: F.array(one("head")(b), one("body")(b))))
-    rows = _read(spark, sf_dir, "orders").select("o_orderkey", S.zeros(c("o_orderkey") % 100).alias("b"))
+    rows = dealt(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", S.zeros(c("o_orderkey") % 100).alias("b"))
     x = rows.select("o_orderkey", held.decode(c("b"), DecodeConfig(max_packet_bytes=63)).alias("r"), registry.Registry().decode(c("b"), DecodeConfig(max_packet_bytes=63)).alias("none"))
     events = F.when(F.size("r.events") == 2, F.when((F.get("r.events", F.lit(0))["protocol"] == "head") & (F.get("r.events", F.lit(1))["protocol"] == "body"), 2)).otherwise(F.coalesce(F.size("r.events"), F.lit(0)))
     return x.select(
@@ -284,7 +284,7 @@ def older_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
         eth(0x8100, S.join(S.hexed("0001 0800"), S.ipv4(17, key, key, datagram))),
         S.hexed("0000 0001 0006"),
     )
-    rows = _read(spark, sf_dir, "events").select("event_id", frame.alias("b"))
+    rows = dealt(spark, sf_dir, "events", "event_id").select("event_id", frame.alias("b"))
     x = rows.select("event_id", layers.parse_layers(c("b")).alias("p"), layers.LAYERS["datalink"].process(c("b")).alias("link"))
     return x.select(
         key.alias("key"), c("p.format").alias("format"), c("p.network_offset").cast("long").alias("network_offset"), c("p.network_ipv4.source").alias("ipv4_source"), c("p.transport.kind").alias("transport"),
